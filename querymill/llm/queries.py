@@ -2,6 +2,106 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from querymill.llm.copies import collapse
+from querymill.llm.frequency import marked, term_counts
+from querymill.llm.percentiles import ValueStore, delivered_once
 from querymill.plans.registry import Register
+from querymill.sources.tables import table
 
 LLM = Register()
+
+TERM_FIELDS = ["query", "sku_name"]
+_TERMS = " UNION ALL ".join(
+    f"SELECT '{f}' AS field, term, sum(k)::BIGINT AS n, count(*)::BIGINT AS n_records FROM (SELECT cand_id, term, count(*) AS k FROM"
+    f" (SELECT cand_id, unnest(regexp_extract_all(lower({f}), '[\\p{{L}}\\p{{Nd}}]+')) AS term FROM candidates_to_label) GROUP BY cand_id, term) GROUP BY term"
+    for f in TERM_FIELDS
+)
+_MARKED = (
+    f"SELECT field, term, n, n_records, CASE WHEN n <= 2 THEN 'rare' WHEN n_records >= 0.02 * (SELECT count(*) FROM candidates_to_label) THEN 'common' END AS mark FROM ({_TERMS})"
+)
+
+
+def _marked_terms(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "candidates_to_label")
+    return marked(term_counts(df, TERM_FIELDS), df.count())
+
+
+@LLM.add(_MARKED)
+def p4_term_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Occurrences and candidate rows of every term, and its mark."""
+    return _marked_terms(spark, sf).drop("term_id")
+
+
+@LLM.add(f"SELECT field, term, mark FROM ({_MARKED}) WHERE mark IS NOT NULL")
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms too rare or too common."""
+    return _marked_terms(spark, sf).where("mark IS NOT NULL").select("field", "term", "mark")
+
+
+_RECORDS = (
+    "SELECT cand_id, min(cand_id) OVER (PARTITION BY sku_id, w) AS keep_id, count(*) OVER (PARTITION BY sku_id, w) AS n_copies FROM"
+    " (SELECT cand_id, sku_id, array_to_string(list_sort(regexp_extract_all(lower(coalesce(query, '')), '[\\p{L}\\p{Nd}]+')), ' ') AS w FROM candidates_to_label WHERE sku_id IS NOT NULL)"
+)
+
+
+def _collapsed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return collapse(table(spark, sf, "candidates_to_label"), "cand_id", "query", ["sku_id"])
+
+
+@LLM.add(f"SELECT DISTINCT keep_id, n_copies FROM ({_RECORDS})")
+def p5_records(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for each record, with the number of its copies."""
+    return _collapsed(spark, sf)[0]
+
+
+@LLM.add(f"SELECT keep_id, cand_id AS dup_id FROM ({_RECORDS}) WHERE cand_id <> keep_id")
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Each further copy and the record it belongs to."""
+    return _collapsed(spark, sf)[1]
+
+
+SIDES = {"server": "server_ms", "client": "client_ms"}
+LIMITS = {"server": 100.0, "client": 150.0}
+SHARES = [0.5, 0.9, 0.95, 0.99]
+_ONCE = " UNION ALL ".join(
+    f"SELECT '{s}' AS side, arg_min(suite, row_id) AS suite, arg_min(run_day, row_id) AS run_day, arg_min({c}, row_id) AS value FROM latency_sla_rows WHERE ok AND {c} IS NOT NULL GROUP BY call_id"
+    for s, c in SIDES.items()
+)
+_RANKED = f"SELECT *, row_number() OVER (PARTITION BY side, suite, run_day ORDER BY value) AS r, count(*) OVER (PARTITION BY side, suite, run_day) AS n FROM (SELECT * FROM ({_ONCE}) UNION ALL SELECT side, suite, '*' AS run_day, value FROM ({_ONCE}))"
+
+
+def _latency(spark: SparkSession, sf: str) -> ValueStore:
+    calls = table(spark, sf, "latency_sla_rows")
+    return ValueStore(delivered_once(calls, SIDES, ["suite", "run_day"], F.col("ok")), ["side", "suite", "run_day"])
+
+
+@LLM.add(
+    "SELECT suite, run_day, side, n, "
+    + ", ".join(f"max(CASE WHEN r = greatest(1, ceil({q} * n - 1e-9)) THEN value END) AS p{q * 100:.0f}" for q in SHARES)
+    + f" FROM ({_RANKED}) GROUP BY suite, run_day, side, n"
+)
+def p7_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of the times per suite and run_day and, as run_day '*', per suite over all days; no rank error."""
+    store = _latency(spark, sf)
+    wanted: dict[tuple, list[tuple]] = {}
+    for side, suite, day in store.sizes:
+        wanted.setdefault((suite, day, side), []).append((side, suite, day))
+        wanted.setdefault((suite, "*", side), []).append((side, suite, day))
+    got = store.percentiles(wanted, SHARES)
+    rows = [(*g, sum(store.sizes[m] for m in members), *(got[g, q] for q in SHARES)) for g, members in wanted.items()]
+    cols = ", ".join(f"p{q * 100:.0f} double" for q in SHARES)
+    return spark.createDataFrame(rows, f"suite string, run_day string, side string, n long, {cols}")
+
+
+@LLM.add(
+    f"SELECT suite, run_day, side FROM ({_RANKED}) WHERE run_day <> '*' AND r = greatest(1, ceil(0.95 * n - 1e-9)) AND value > CASE side WHEN 'server' THEN {LIMITS['server']} ELSE {LIMITS['client']} END"
+)
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Suites and days whose 95th percentile is over the limit."""
+    store = _latency(spark, sf)
+    got = store.percentiles({g: [g] for g in store.sizes}, [0.95])
+    rows = [(suite, day, side) for ((side, suite, day), _), v in got.items() if v > LIMITS[side]]
+    return spark.createDataFrame(rows, "suite string, run_day string, side string")
