@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from querymill.llm.copies import collapse
 from querymill.llm.frequency import marked, term_counts
+from querymill.llm.lookalikes import plain_rows
 from querymill.llm.percentiles import ValueStore, delivered_once
 from querymill.plans.registry import Register
 from querymill.sources.tables import table
@@ -105,3 +106,11 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     got = store.percentiles({g: [g] for g in store.sizes}, [0.95])
     rows = [(suite, day, side) for ((side, suite, day), _), v in got.items() if v > LIMITS[side]]
     return spark.createDataFrame(rows, "suite string, run_day string, side string")
+
+
+@LLM.add()
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows whose query only looks like plainly typed text, with the plain text."""
+    keys = {"candidates_to_label": "cand_id", "latency_sla_rows": "row_id", "benchmark": "item_id"}
+    parts = [table(spark, sf, t).select(F.lit(t).alias("tab"), F.col(k).alias("row_id"), F.col("query").alias("text")) for t, k in keys.items()]
+    return plain_rows(parts[0].unionByName(parts[1]).unionByName(parts[2]))
