@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querymill.llm.copies import collapse
+from querymill.llm.entities import Reference
 from querymill.llm.frequency import marked, term_counts
 from querymill.llm.lookalikes import plain_rows
 from querymill.llm.percentiles import ValueStore, delivered_once
@@ -114,3 +115,15 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     keys = {"candidates_to_label": "cand_id", "latency_sla_rows": "row_id", "benchmark": "item_id"}
     parts = [table(spark, sf, t).select(F.lit(t).alias("tab"), F.col(k).alias("row_id"), F.col("query").alias("text")) for t, k in keys.items()]
     return plain_rows(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+@LLM.add()
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The entry of brands that each typed brand means (0 for none) and that each candidate's query names."""
+    brands = table(spark, sf, "brands").select(F.col("brand_id").alias("entry_id"), F.col("brand").alias("name"))
+    aliases = table(spark, sf, "spell_aliases").join(brands, F.col("canon") == F.col("name")).select("entry_id", "alias")
+    typed = table(spark, sf, "benchmark").where("brand <> ''").select(F.lit("benchmark").alias("tab"), F.col("item_id").alias("row_id"), F.col("brand").alias("text"))
+    named = table(spark, sf, "candidates_to_label").where("query <> ''").select(F.lit("candidates_to_label").alias("tab"), F.col("cand_id").alias("row_id"), F.col("query").alias("text"))
+    rows = typed.unionByName(named)
+    found = rows.join(Reference(brands, aliases).match(rows), "text", "left")
+    return found.select("tab", "row_id", F.coalesce("entry_id", F.lit(0).cast("long")).alias("brand_id")).where("tab = 'benchmark' OR brand_id > 0")
