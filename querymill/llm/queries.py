@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from querymill.llm.copies import collapse
 from querymill.llm.entities import Reference
 from querymill.llm.frequency import marked, term_counts
+from querymill.llm.leaks import leaks
 from querymill.llm.lookalikes import plain_rows
+from querymill.llm.packing import CAPACITY, pack, token_counts
 from querymill.llm.percentiles import ValueStore, delivered_once
 from querymill.plans.registry import Register
 from querymill.sources.tables import table
@@ -127,3 +129,32 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = typed.unionByName(named)
     found = rows.join(Reference(brands, aliases).match(rows), "text", "left")
     return found.select("tab", "row_id", F.coalesce("entry_id", F.lit(0).cast("long")).alias("brand_id")).where("tab = 'benchmark' OR brand_id > 0")
+
+
+@LLM.add()
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's container of 2,048 tokens."""
+    return pack(token_counts(table(spark, sf, "documents"))).select("doc_id", "part", F.col("size").alias("n_tokens"), "container")
+
+
+@LLM.add()
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers, tokens and the share of room used."""
+    per = p8_containers(spark, sf).groupBy("container").agg(F.sum("n_tokens").alias("fill"), F.count(F.lit(1)).alias("n_parts"))
+    return per.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n_parts").alias("n_parts"), F.sum("fill").alias("n_tokens"), F.max("fill").alias("fullest"), F.avg(F.col("fill") / CAPACITY).alias("used"))
+
+
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+@LLM.add()
+def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold ten words of an evaluation text with at most one edit."""
+    return _leaks(spark, sf)
+
+
+@LLM.add()
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that share a run of at least ten words with an evaluation text."""
+    return _leaks(spark, sf).where("run_words >= 10").select("doc_id", "eval_id")
