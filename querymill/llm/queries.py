@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from querymill.llm.copies import collapse
 from querymill.llm.entities import Reference
 from querymill.llm.frequency import marked, term_counts
+from querymill.llm.languages import document_languages, mislabelled, segments, train
 from querymill.llm.leaks import leaks
 from querymill.llm.lookalikes import plain_rows
 from querymill.llm.packing import CAPACITY, pack, token_counts
 from querymill.llm.percentiles import ValueStore, delivered_once
 from querymill.plans.registry import Register
-from querymill.sources.tables import table
+from querymill.sources.tables import stage, table
 
 LLM = Register()
 
@@ -158,3 +159,29 @@ def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that share a run of at least ten words with an evaluation text."""
     return _leaks(spark, sf).where("run_words >= 10").select("doc_id", "eval_id")
+
+
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return stage(segments(docs, train(docs)), "segments")
+
+
+@LLM.add()
+def p10_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stretch of one language inside a document."""
+    return _segments(spark, sf)
+
+
+@LLM.add()
+def p10_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's languages."""
+    return document_languages(_segments(spark, sf))
+
+
+@LLM.add()
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The languages of documents whose label is missing or wrong or that hold several."""
+    labels = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("label"))
+    langs = document_languages(_segments(spark, sf)).join(labels, "doc_id")
+    cases = mislabelled(langs, F.col("label")).where("case").select("doc_id")
+    return langs.join(cases, "doc_id").select("doc_id", "lang").distinct()
