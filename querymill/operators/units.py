@@ -192,9 +192,8 @@ def _numbers(text: str, at: int) -> tuple[list[Fraction], list[str], int] | None
         if (m := _NUMBER.match(text, end)) and not (m.end() < len(text) and text[m.end()] == "."  and text[m.end() + 1 : m.end() + 2].isdigit()):
             raw = m.group().replace(" ", "").replace(",", ".")
             value, stop = Fraction(raw), m.end()
-            first = m.group()
         elif w := _word_number(text, end):
-            (value, stop), first = w, ""
+            value, stop = w
         else:
             break
         if t := _THOUSAND.match(text, stop):
@@ -205,7 +204,6 @@ def _numbers(text: str, at: int) -> tuple[list[Fraction], list[str], int] | None
             return values, joins, end
         joins.append(j.group().strip())
         end = j.end()
-        del first
     if not values:
         return None
     joins.pop()
