@@ -28,7 +28,7 @@ _WS = "[\\s\\p{Z}\\x{85}]+"
 
 def tok(c: str) -> str:
     """SQL of the tokens of a text."""
-    key = f"regexp_replace(trim(regexp_replace(translate(lower({c}), 'ё', 'е'), '{_WS}', ' ', 'g')), '(\\d)([a-zа-яёA-ZА-Я]{{1,4}})($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])', '\\1 \\2\\3', 'g')"
+    key = f"regexp_replace(trim(regexp_replace(translate(lower({c}), 'ё', 'е'), '{_WS}', ' ', 'g')), '(\\p{{Nd}})([a-zа-яёA-ZА-Я]{{1,4}})($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])', '\\1 \\2\\3', 'g')"
     return f"list_filter(regexp_split_to_array({key}, '[^a-zа-я0-9ё.+]+'), lambda x: x <> '')"
 
 
@@ -38,12 +38,12 @@ def _dict_sql(kind: str, name: str, canonical: str, source: str) -> str:
 
 _PALETTE = "[" + ", ".join(f"'{c}'" for c in X.COLORS) + "]"
 FACTS_SQL = f"""
-d AS ({_dict_sql('brand', 'brand', 'brand', 'brands')} UNION ALL {_dict_sql('alias', 'alias', 'canon', '(SELECT a.alias, a.canon FROM spell_aliases a)')} UNION ALL {_dict_sql('category', 'category', 'category', 'benchmark')}),
-q AS (SELECT item_id AS id, query, {tok('query')} AS t FROM benchmark WHERE query <> ''),
-g AS (SELECT id, n, p - 1 AS pos, array_to_string(t[p:p + n - 1], ' ') AS phrase FROM (SELECT id, t, n, unnest(generate_series(1, len(t) - n + 1)) AS p FROM q, (SELECT unnest([1, 2, 3]) AS n))),
-h AS (SELECT g.id, kind, g.n, pos, g.phrase, canonical, row_number() OVER (PARTITION BY g.id, kind ORDER BY g.n DESC, pos, g.phrase, canonical) AS rn FROM g JOIN d USING (phrase) WHERE kind <> 'alias' OR n = 1),
+fd AS ({_dict_sql('brand', 'brand', 'brand', 'brands')} UNION ALL {_dict_sql('alias', 'alias', 'canon', '(SELECT a.alias, a.canon FROM spell_aliases a)')} UNION ALL {_dict_sql('category', 'category', 'category', 'benchmark')}),
+fq AS (SELECT item_id AS id, query, {tok('query')} AS t FROM benchmark WHERE query <> ''),
+fg AS (SELECT id, n, p - 1 AS pos, array_to_string(t[p:p + n - 1], ' ') AS phrase FROM (SELECT id, t, n, unnest(generate_series(1, len(t) - n + 1)) AS p FROM fq, (SELECT unnest([1, 2, 3]) AS n))),
+fh AS (SELECT g.id, kind, g.n, pos, g.phrase, canonical, row_number() OVER (PARTITION BY g.id, kind ORDER BY g.n DESC, pos, g.phrase, canonical) AS rn FROM fg g JOIN fd USING (phrase) WHERE kind <> 'alias' OR n = 1),
 f1 AS (SELECT q.id, q.t, b.canonical AS bc, b.phrase AS bp, b.pos + b.n AS bend, a.canonical AS ac, a.phrase AS ap, a.pos + a.n AS aend, c.phrase AS category, c.pos AS cpos, c.n AS cn
- FROM q LEFT JOIN h b ON b.id = q.id AND b.kind = 'brand' AND b.rn = 1 LEFT JOIN h a ON a.id = q.id AND a.kind = 'alias' AND a.rn = 1 LEFT JOIN h c ON c.id = q.id AND c.kind = 'category' AND c.rn = 1),
+ FROM fq q LEFT JOIN fh b ON b.id = q.id AND b.kind = 'brand' AND b.rn = 1 LEFT JOIN fh a ON a.id = q.id AND a.kind = 'alias' AND a.rn = 1 LEFT JOIN fh c ON c.id = q.id AND c.kind = 'category' AND c.rn = 1),
 f2 AS (SELECT id, t, coalesce(bc, ac) AS brand, coalesce(bp, ap) AS brand_text, coalesce(bend, aend)::INT AS e, category, cpos, cn, list_sort(list_distinct(list_filter(t, lambda x: list_contains({_PALETTE}, x)))) AS colors FROM f1),
 tail AS (SELECT id, i, t[e + i] AS w, (NOT regexp_full_match(t[e + i], '[a-z0-9.+-]+') OR list_contains({_PALETTE}, t[e + i]) OR coalesce(e + i - 1 >= cpos AND e + i - 1 < cpos + cn, false)) AS stop FROM (SELECT *, unnest(generate_series(1, least(4, len(t) - e))) AS i FROM f2 WHERE e IS NOT NULL)),
 tail2 AS (SELECT id, array_to_string(list(w ORDER BY i) FILTER (WHERE i < coalesce(s, 99)), ' ') AS model FROM (SELECT *, min(CASE WHEN stop THEN i END) OVER (PARTITION BY id) AS s FROM tail) GROUP BY id),
