@@ -6,6 +6,8 @@ word meets the whole vocabulary, and scores only what the built-in distance lets
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,36 +32,47 @@ def _variants(c: Column) -> Column:
 
 #: Edits that a score of 0.8 admits at most, as a share of the longer word: each costs half at least.
 EDIT_SHARE = 0.4
+Edits = Callable[[Column, Column], Column]
 
 
 def _edits(n: Column, m: Column) -> Column:
     return F.floor(F.greatest(n, m) * EDIT_SHARE).cast("int")
 
 
-def _pieces(w: Column) -> Column:
+def pieces(w: Column, edits: Edits, spread: int) -> Column:
     """Of a vocabulary word, for each length n of a typed word that admits three edits or more: its equal pieces, one of which such edits leave whole."""
     m = F.length(w)
 
     def of(n: Column) -> Column:
-        k = _edits(n, m)
+        k = edits(n, m)
         size = F.floor(m / (k + 1)).cast("int")
         return F.when(k >= 3, F.transform(F.sequence(F.lit(0), k), lambda i: F.concat_ws("|", m, n, i, F.substring(w, i * size + 1, size)))).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.transform(F.sequence(F.greatest(F.lit(1), m - 2), m + 2), of))
+    return F.flatten(F.transform(F.sequence(F.greatest(F.lit(1), m - spread), m + spread), of))
 
 
-def _probes(t: Column) -> Column:
+def probes(t: Column, edits: Edits, spread: int) -> Column:
     """Of a typed word, for each length m of a vocabulary word: what may be its pieces, each moved by no more than the edits."""
     n = F.length(t)
 
     def of(m: Column) -> Column:
-        k = _edits(n, m)
+        k = edits(n, m)
         size = F.floor(m / (k + 1)).cast("int")
         at = lambda i: F.filter(F.sequence(i * size - k, i * size + k), lambda p: (p >= 0) & (p + size <= n))
         each = F.flatten(F.transform(F.sequence(F.lit(0), k), lambda i: F.transform(at(i), lambda p: F.concat_ws("|", m, n, i, F.substring(t, p + 1, size)))))
         return F.when(k >= 3, each).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(F.lit(1), n - 2), n + 2), of)))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(F.lit(1), n - spread), n + spread), of)))
+
+
+def near_pairs(typed: DataFrame, known: DataFrame, edits: Edits, spread: int) -> DataFrame:
+    """``t, w``: pairs of distinct typed (t) and known (w) words that may be within ``edits`` plain edits and differ in length by ``spread`` at most.
+
+    Pairs of up to two edits meet on deletion variants, pairs of more on equal pieces; no pair within the edits is missed.
+    """
+    both = lambda f, g: typed.select("t", F.explode(f(F.col("t"))).alias("v")).join(known.select("w", F.explode(g(F.col("w"))).alias("v")), "v").select("t", "w")
+    far = both(lambda c: probes(c, edits, spread), lambda c: pieces(c, edits, spread))
+    return both(_variants, _variants).union(far).distinct().where(F.abs(F.length("t") - F.length("w")) <= spread)
 
 
 def best_candidates(words: DataFrame, vocabulary: DataFrame, accept: float = 0.8, min_size: int = 4, edit_share: float = 0.34) -> DataFrame:
@@ -75,9 +88,7 @@ def best_candidates(words: DataFrame, vocabulary: DataFrame, accept: float = 0.8
     own = words.where(F.length("t") >= min_size).select("t").distinct()
     exact = own.join(known, own["t"] == known["w"]).select("t", F.col("w").alias("to"), F.lit(1.0).alias("score"))
     open_ = own.join(known, own["t"] == known["w"], "left_anti")
-    both = lambda f, g: open_.select("t", F.explode(f(F.col("t"))).alias("v")).join(known.select("w", F.explode(g(F.col("w"))).alias("v")), "v").select("t", "w")
-    pairs = both(_variants, _variants).union(both(_probes, _pieces)).distinct()
-    pairs = pairs.where((F.abs(F.length("t") - F.length("w")) <= 2) & (F.levenshtein("t", "w") <= F.greatest(F.lit(2), _edits(F.length("t"), F.length("w")))))
+    pairs = near_pairs(open_, known, _edits, 2).where(F.levenshtein("t", "w") <= F.greatest(F.lit(2), _edits(F.length("t"), F.length("w"))))
     scored = pairs.withColumn("score", similarity("t", "w")).where(F.col("score") >= accept).withColumn("d", weighted_edit("t", "w"))
     passed = scored.where(F.col("d") <= F.greatest(F.lit(1.0), F.length("t") * edit_share))
     best = passed.groupBy("t").agg(F.min(F.struct((-F.col("score")).alias("neg"), "w")).alias("m"))
