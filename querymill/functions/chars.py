@@ -31,6 +31,10 @@ SPACES = [0x00A0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 
 _SINGLE = {**dict.fromkeys(INVISIBLE, ""), **dict.fromkeys(HYPHENS, "-"), **dict.fromkeys(SPACES, " ")}
 _LETTERS = re.compile(r"[^\W\d_]+")
+_ODD = re.compile("[" + "".join(map(re.escape, map(chr, _SINGLE))) + "]")
+_L, _G, _C = "A-Za-z\u00c0-\u024f\u1e00-\u1eff", "\u0370-\u03ff\u1f00-\u1fff", "\u0400-\u052f"
+#: Letters of two alphabets side by side, or a letter outside the usual blocks, behind which two may hide.
+_MIXED = re.compile(f"[{_L}][{_G}{_C}]|[{_G}{_C}][{_L}]|[{_G}][{_C}]|[{_C}][{_G}]|[^\\x00-\u052f\u1e00-\u1fff\u2000-\u2bff]")
 
 
 @lru_cache(maxsize=200_000)
@@ -62,7 +66,11 @@ def plain(text: str | None) -> str:
         return ""
     if text.isascii():
         return text
-    out = unicodedata.normalize("NFKC", text.translate(_SINGLE)).translate(_SINGLE)
+    out = text
+    if _ODD.search(text) or not unicodedata.is_normalized("NFKC", text):
+        out = unicodedata.normalize("NFKC", text.translate(_SINGLE)).translate(_SINGLE)
+    if not _MIXED.search(out):
+        return out
     return _LETTERS.sub(lambda m: m.group() if m.group().isascii() else one_alphabet(m.group()), out)
 
 
