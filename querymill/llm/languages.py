@@ -26,6 +26,7 @@ SWITCH_END, SWITCH_INSIDE = 16.0, 40.0
 _CODE = re.compile(r"\S*\d\S*")
 _TAG = re.compile(r"</?\w+/?>")
 _CLOSED = re.compile(r"(</\w+>|<br/?>)$")
+_ITEM = re.compile(r"\d+[.)]")
 _STOP = re.compile(r"[.!?…][\"'»”)\]]*$")
 #: Bits by which one word can speak against a language, so that a name is no stretch of its own.
 WORD_LIMIT = 16.0
@@ -36,8 +37,11 @@ LONG_SENTENCE, LONG_WITHOUT_CAPITALS = 16, 10
 
 
 def prepared(text: str) -> bytes:
-    """The bytes that are modelled: lower case, tokens with digits left out."""
-    return _CODE.sub("0", _TAG.sub(" ", text.lower())).encode("utf-8", "replace")
+    """The bytes that are modelled: the words in lower case with one space between, tags as | and words with digits as 0."""
+    low = text.lower()
+    if "<" in low:
+        low = _TAG.sub("|", low)
+    return " ".join(_CODE.sub("0", low).split()).encode("utf-8", "replace")
 
 
 def _keys(data: np.ndarray, order: int) -> np.ndarray:
@@ -105,53 +109,58 @@ class ContextTrees:
         return out
 
 
-def word_costs(trees: ContextTrees, texts: list[str], chunk: int = 1_000_000) -> Iterator[tuple[int, list[str], np.ndarray]]:
-    """(index of the text, its words, bits of each word under each language), whole texts in chunks of about ``chunk`` bytes."""
-    group: list[tuple[int, list[str], list[bytes]]] = []
+def word_costs(trees: ContextTrees, texts: list[str], chunk: int = 1_000_000) -> Iterator[tuple[int, np.ndarray]]:
+    """(index of the text, bits of each of its words under each language), whole texts in chunks of about ``chunk`` bytes."""
+    group: list[tuple[int, bytes]] = []
     size = 0
 
-    def flush() -> Iterator[tuple[int, list[str], np.ndarray]]:
-        parts, starts, at = [b" " * ORDER], [], 0
-        for _, _, encoded in group:
-            for e in encoded:
-                starts.append(at)
-                parts.append(e + b" ")
-                at += len(e) + 1
-            parts.append(b" " * ORDER)
-            at += ORDER
-        if not starts:
-            for i, words, _ in group:
-                yield i, words, np.zeros((0, trees.n), np.float32)
-            return
-        bits = trees.code_lengths(np.frombuffer(b"".join(parts), np.uint8))
-        sums = np.add.reduceat(bits, np.array(starts), axis=0)
-        n = 0
-        sums = np.minimum(sums, sums.min(axis=1, keepdims=True) + WORD_LIMIT)
-        for i, words, encoded in group:
-            yield i, words, sums[n : n + len(encoded)]
-            n += len(encoded)
+    def flush() -> Iterator[tuple[int, np.ndarray]]:
+        gap = b" " * (ORDER + 1)
+        data = np.frombuffer(b" " * ORDER + gap.join(e for _, e in group) + gap, np.uint8)
+        bits = trees.code_lengths(data)
+        at = 0
+        for i, encoded in group:
+            own = bits[at : at + len(encoded) + 1]  # with the space behind the last word
+            if not encoded:
+                yield i, np.zeros((0, trees.n), np.float32)
+            else:
+                spaces = np.flatnonzero(data[ORDER + at : ORDER + at + len(encoded)] == 32) + 1
+                sums = np.add.reduceat(own, np.concatenate(([0], spaces)), axis=0)
+                yield i, np.minimum(sums, sums.min(axis=1, keepdims=True) + WORD_LIMIT)
+            at += len(encoded) + len(gap)
 
     for i, text in enumerate(texts):
-        words = re.findall(r"\S+", text)
-        encoded = [prepared(w) for w in words]
-        group.append((i, words, encoded))
-        size += sum(map(len, encoded)) + len(encoded)
+        encoded = prepared(text)
+        group.append((i, encoded))
+        size += len(encoded) + ORDER + 1
         if size >= chunk:
             yield from flush()
             group, size = [], 0
-    yield from flush()
-    
+    if group:
+        yield from flush()
+
+
+_MAY_END = set(".!?…\"'»”)]>")
 
-def sentence_ends(text: str) -> np.ndarray:
-    """Of each word whether a sentence ends with it."""
-    ends, marks = [], {m.start() for m in re.finditer(r"\n", text)}
-    spans = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
-    for k, (a, b) in enumerate(spans):
-        nxt = spans[k + 1][0] if k + 1 < len(spans) else len(text)
-        word = _TAG.sub("", text[a:b])
-        stop = _STOP.search(word) is not None and not re.fullmatch(r"\d+[.)]", word)
-        ends.append(stop or _CLOSED.search(text[a:b]) is not None or any(p in marks for p in range(b, nxt)))
-    return np.array(ends, bool)
+
+def _ends(word: str) -> bool:
+    """Whether a sentence ends with the word."""
+    if word[-1] not in _MAY_END:
+        return False
+    bare = _TAG.sub("", word) if word[-1] == ">" else word
+    return (_STOP.search(bare) is not None and not _ITEM.fullmatch(bare)) or _CLOSED.search(word) is not None
+
+
+def sentence_ends(text: str, words: list[str]) -> np.ndarray:
+    """Of each word whether a sentence ends with it, by its marks or a line end behind it."""
+    ends = np.fromiter(map(_ends, words), bool, len(words))
+    if "\n" in text:
+        n = 0
+        for line in text.split("\n")[:-1]:
+            n += len(line.split())
+            if n:
+                ends[n - 1] = True
+    return ends
 
 
 def assign(costs: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -205,9 +214,9 @@ def train(docs: DataFrame, languages: list[str] | None = None, per_language: int
         kept = []
         for i, texts in enumerate(sample):
             own = []
-            for _, words, costs in word_costs(trees, texts):
-                if len(words) and (mine := assign(costs, np.ones(len(words), bool)) == i).mean() > 0.5:
-                    own.append(b" ".join(prepared(w) for w, m in zip(words, mine, strict=True) if m))
+            for k, costs in word_costs(trees, texts):
+                if len(costs) and (mine := assign(costs, np.ones(len(costs), bool)) == i).mean() > 0.5:
+                    own.append(b" ".join(w for w, m in zip(prepared(texts[k]).split(b" "), mine, strict=True) if m))
             kept.append(own or [prepared(t) for t in texts])
         trees = ContextTrees(kept)
     return trees
@@ -229,10 +238,11 @@ def segments(docs: DataFrame, trees: ContextTrees, languages: list[str] | None =
             rows = []
             texts = pdf["text"].tolist()
             ids = pdf["doc_id"].tolist()
-            for i, words, costs in word_costs(model, texts):
+            for i, costs in word_costs(model, texts):
+                words = texts[i].split()
                 if not words:
                     continue
-                ends = sentence_ends(texts[i])
+                ends = sentence_ends(texts[i], words)
                 langs = assign(costs, ends)
                 edges = [0, *(np.flatnonzero(np.diff(langs)) + 1).tolist(), len(words)]
                 for a, b in zip(edges, edges[1:], strict=False):
@@ -247,12 +257,11 @@ def segments(docs: DataFrame, trees: ContextTrees, languages: list[str] | None =
 
 def count_sentences(words: list[str], ends: np.ndarray, lang: str) -> int:
     """Sentences of a stretch: by end marks, by capitals where those are missing, and by length where both are."""
-    n, since = 0, 0
+    n, since, capitals = 0, 0, lang not in CAPITAL_NOUNS
     for k, w in enumerate(words):
         since += 1
         nxt = words[k + 1] if k + 1 < len(words) else ""
-        starts = lang not in CAPITAL_NOUNS and nxt[:1].isupper() and nxt[1:].islower() and w.islower() and since >= 4
-        if ends[k] or starts or not nxt:
+        if ends[k] or not nxt or (capitals and since >= 4 and nxt[0].isupper() and nxt[1:].islower() and w.islower()):
             if since >= 3:
                 n += max(1, since // (LONG_WITHOUT_CAPITALS if lang in CAPITAL_NOUNS else LONG_SENTENCE))
             since = 0

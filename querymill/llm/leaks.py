@@ -99,6 +99,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 10, errors: int = 1,
 def _search(block: list[tuple[int, list[str]]], window: int, errors: int):  # noqa: ANN202
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_size: dict[int, dict[str, list[tuple[int, int]]]] = {}
+        ends: dict[int, tuple[set[str], set[str]]] = {}
         spans = []
         for k, (_, words) in enumerate(block):
             own = min(window, len(words))
@@ -107,13 +108,19 @@ def _search(block: list[tuple[int, list[str]]], window: int, errors: int):  # no
             pieces = by_size.setdefault(size, {})
             for p in range(len(words) - size + 1):
                 pieces.setdefault(" ".join(words[p : p + size]), []).append((k, p))
+                first, last = ends.setdefault(size, (set(), set()))
+                first.add(words[p])
+                last.add(words[p + size - 1])
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 words = read_words(text)
                 hits: dict[int, list[tuple[int, int]]] = {}
                 for size, pieces in by_size.items():
+                    first, last = ends[size]
                     for at in range(len(words) - size + 1):
+                        if words[at] not in first or words[at + size - 1] not in last:
+                            continue
                         for k, p in pieces.get(" ".join(words[at : at + size]), ()):
                             hits.setdefault(k, []).append((at, p))
                 for k, found in hits.items():

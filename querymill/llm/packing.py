@@ -182,7 +182,7 @@ def _blocks(items: DataFrame, capacity: int, containers: int, most_items: int) -
     """Items spread over blocks of about ``containers`` containers and ``most_items`` items at most."""
     total = items.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("n")).first()
     n = max(1, round(total["s"] / (capacity * containers)), -(-total["n"] // most_items))
-    return items.withColumn("block", F.pmod(F.xxhash64("doc_id", "part"), F.lit(n)))
+    return items.withColumn("block", F.pmod(F.xxhash64("doc_id", "part"), F.lit(n))).repartition(min(n, 20_000), "block")
 
 
 def pack(sizes: DataFrame, capacity: int = CAPACITY, containers: int = 400, most_items: int = 20_000, good: float = 0.99) -> DataFrame:
