@@ -9,6 +9,8 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import regex
+
 # Characters that show nothing.
 INVISIBLE = [0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0x3164, *range(0xFE00, 0xFE10), 0xFEFF, 0xFFA0]
 
@@ -30,11 +32,12 @@ GREEK_CYRILLIC["ν"], GREEK_CYRILLIC["υ"], GREEK_CYRILLIC["γ"] = "у", "у", "
 SPACES = [0x00A0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 
 _SINGLE = {**dict.fromkeys(INVISIBLE, ""), **dict.fromkeys(HYPHENS, "-"), **dict.fromkeys(SPACES, " ")}
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: A word: letters with their combining marks.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _ODD = re.compile("[" + "".join(map(re.escape, map(chr, _SINGLE))) + "]")
-_L, _G, _C = "A-Za-z\u00c0-\u024f\u1e00-\u1eff", "\u0370-\u03ff\u1f00-\u1fff", "\u0400-\u052f"
-#: Letters of two alphabets side by side, or a letter outside the usual blocks, behind which two may hide.
-_MIXED = re.compile(f"[{_L}][{_G}{_C}]|[{_G}{_C}][{_L}]|[{_G}][{_C}]|[{_C}][{_G}]|[^\\x00-\u052f\u1e00-\u1fff\u2000-\u2bff]")
+_L, _G, _C = "A-Za-z\u00c0-\u024f\u1e00-\u1eff", "\u0370-\u03ff\u1f00-\u1fff", "\u0400-\u0482\u048a-\u052f"
+#: Letters of two alphabets side by side, or a mark or a letter outside the usual blocks, behind which two may hide.
+_MIXED = re.compile(f"[{_L}][{_G}{_C}]|[{_G}{_C}][{_L}]|[{_G}][{_C}]|[{_C}][{_G}]|[\u0300-\u036f\u0483-\u0489]|[^\\x00-\u052f\u1e00-\u1fff\u2000-\u2bff]")
 
 
 @lru_cache(maxsize=200_000)
@@ -45,7 +48,7 @@ def script(letter: str) -> str:
 
 
 def one_alphabet(word: str) -> str:
-    """A run of letters in the alphabet of most of them; on a tie, of those without a look-alike, else Cyrillic."""
+    """A run of decomposed letters in the alphabet of most of them; on a tie, of those without a look-alike, else Cyrillic."""
     latin = sum(script(c) == "L" for c in word)
     cyrillic = sum(script(c) == "C" for c in word)
     greek = sum(script(c) == "G" for c in word)
@@ -71,7 +74,8 @@ def plain(text: str | None) -> str:
         out = unicodedata.normalize("NFKC", text.translate(_SINGLE)).translate(_SINGLE)
     if not _MIXED.search(out):
         return out
-    return _LETTERS.sub(lambda m: m.group() if m.group().isascii() else one_alphabet(m.group()), out)
+    apart = unicodedata.normalize("NFD", out)
+    return unicodedata.normalize("NFC", _LETTERS.sub(lambda m: m.group() if m.group().isascii() else one_alphabet(m.group()), apart))
 
 
 def fold(text: str | None) -> str:

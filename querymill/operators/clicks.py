@@ -20,7 +20,7 @@ def votes(clicks: DataFrame, least: int = 2, no_position: int = 99) -> DataFrame
     Null positions, and those that are no number, count as ``no_position``.
     """
     q, b = strip(F.col("query")), strip(F.col("sku_brand_name"))
-    pos = F.coalesce(F.col("sku_position").cast("int"), F.lit(no_position))
+    pos = F.coalesce(F.col("sku_position").cast("string").try_cast("int"), F.lit(no_position))
     return clicks.where((F.length(q) >= least) & (F.length(b) >= least)).select(F.lower(q).alias("query_norm"), q.alias("query_raw"), b.alias("brand"), pos.alias("pos"))
 
 

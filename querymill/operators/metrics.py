@@ -58,7 +58,7 @@ def latency_summary(df: DataFrame, by: list[str], value: str, limit: float) -> D
 def threshold_sweep(df: DataFrame, score: Column, correct: Column, grid: list[float]) -> DataFrame:
     """``tau, accepted, coverage, accuracy`` of accepting scores from each threshold on; all thresholds in one pass."""
     rows = df.select(score.alias("s"), correct.cast("int").alias("c"))
-    aggs = [F.struct(F.lit(t).alias("tau"), F.count_if(F.col("s") >= t).alias("accepted"), F.round(F.count_if(F.col("s") >= t) / F.count(F.lit(1)), 6).alias("coverage"), F.round(F.avg(F.when(F.col("s") >= t, F.col("c"))), 6).alias("accuracy")) for t in grid]
+    aggs = [F.struct(F.lit(t).alias("tau"), F.count_if(F.col("s") >= t).alias("accepted"), F.round(F.try_divide(F.count_if(F.col("s") >= t), F.count(F.lit(1))), 6).alias("coverage"), F.round(F.avg(F.when(F.col("s") >= t, F.col("c"))), 6).alias("accuracy")) for t in grid]
     return rows.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
 
 

@@ -23,7 +23,7 @@ def audit(df: DataFrame, dear: float = 3_000_000, deep: int = 1000, long: int =
     }
     one = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in checks.items()])
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("issue"), F.col(k).alias("n")) for k in checks])).alias("r")
-    return one.select(F.col("n").alias("total"), rows).select("r.issue", "r.n", F.round(F.col("r.n") / F.col("total"), 6).alias("share"))
+    return one.select(F.col("n").alias("total"), rows).select("r.issue", "r.n", F.round(F.try_divide(F.col("r.n"), F.col("total")), 6).alias("share"))
 
 
 def completeness(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -25,7 +25,7 @@ def missing_profile(df: DataFrame, cols: list[str]) -> DataFrame:
         aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__0"), F.count_if(F.trim(F.col(c).cast("string")) == "").alias(f"{c}__1")]
     one = df.agg(F.count(F.lit(1)).alias("n"), *aggs)
     rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"{c}__0").alias("n_null"), F.col(f"{c}__1").alias("n_blank")) for c in cols])).alias("r")
-    return one.select("n", rows).select("r.*", F.round((F.col("r.n_null") + F.col("r.n_blank")) / F.col("n"), 6).alias("share_missing"))
+    return one.select("n", rows).select("r.*", F.round(F.try_divide(F.col("r.n_null") + F.col("r.n_blank"), F.col("n")), 6).alias("share_missing"))
 
 
 def describe(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:

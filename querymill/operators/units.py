@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querymill.functions.chars import plain
@@ -276,6 +276,9 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["tab", "row_id", "spelling", "n", "d"])
 
 
+#: From here on doubles skip whole numbers.
+MOST = 9e15
+
 #: Rows without a digit and without a number word state nothing.
 MAY_STATE = r"(?iu)\p{N}|" + "|".join(sorted({w[:3] for w in NUMBER_WORDS}))
 
@@ -283,20 +286,19 @@ MAY_STATE = r"(?iu)\p{N}|" + "|".join(sorted({w[:3] for w in NUMBER_WORDS}))
 def stated_quantities(texts: DataFrame, graph: ConversionGraph | None = None, spellings: dict[str, str] | None = None) -> DataFrame:
     """``tab, row_id, dim, base_value`` of every distinct quantity that the texts (``tab, row_id, text``) state.
 
-    base_value is rounded to a whole base unit, halves up. Defined cases: null and empty texts state nothing; a
+    base_value is rounded to a whole base unit, halves up; values of ``MOST`` base units and more, which no double
+    holds exactly, are left out. Defined cases: null and empty texts state nothing; a
     quantity stated twice in a row, in whatever units, is one row; repeated rows count once; other columns are ignored.
     """
     graph = graph or ConversionGraph(EDGES, BASES)
     units = graph.table(texts.sparkSession, spellings or SPELLINGS)
     mentions = texts.select("tab", "row_id", "text").where(F.col("text").rlike(MAY_STATE)).mapInPandas(_parse, "tab string, row_id long, spelling string, n string, d string")
-    wide = "decimal(20,0)"
-
-    def exact(c: str) -> Column:
-        return F.col(c).cast(wide).cast("double")
-
-    value = exact("n") * exact("num") / (exact("d") * exact("den")) + exact("offset_num") / exact("offset_den")
+    x = lambda c: F.col(c).cast("double")
+    value = x("n") * x("num") / (x("d") * x("den")) + x("offset_num") / x("offset_den")
     return (
         mentions.join(F.broadcast(units), "spelling")
-        .select("tab", "row_id", "dim", F.floor(F.round(value, 6) + 0.5).cast("long").alias("base_value"))
+        .select("tab", "row_id", "dim", value.alias("value"))
+        .where(F.col("value") < MOST)
+        .select("tab", "row_id", "dim", F.floor(F.round("value", 6) + 0.5).cast("long").alias("base_value"))
         .distinct()
     )

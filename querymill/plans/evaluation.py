@@ -95,7 +95,7 @@ def latency_sla(spark, sf):
 def throughput(spark, sf):
     """Success rate, share under the limit and calls a second of one client."""
     ms = F.col("server_ms")
-    return table(spark, sf, "latency_sla_rows").groupBy("suite", "run_day").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("ok").cast("int")), 6).alias("success"), F.round(F.avg((ms < 100).cast("int")), 6).alias("under_limit"), F.round(1000.0 / F.avg(ms), 4).alias("per_second"))
+    return table(spark, sf, "latency_sla_rows").groupBy("suite", "run_day").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("ok").cast("int")), 6).alias("success"), F.round(F.avg((ms < 100).cast("int")), 6).alias("under_limit"), F.round(F.try_divide(F.lit(1000.0), F.avg(ms)), 4).alias("per_second"))
 
 
 @CORE.add("SELECT suite, run_day, row_id, round(percent_rank() OVER (PARTITION BY suite, run_day ORDER BY server_ms), 6) AS cdf FROM latency_sla_rows WHERE ok AND server_ms IS NOT NULL")
