@@ -173,12 +173,12 @@ def assign(costs: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if best.max() <= SWITCH_END:  # no stretch is worth even one change
         return np.full(n, main)
     back = np.zeros((n, m), np.int16)
-    score = costs[0].astype(np.float64)
+    score, own = costs[0].astype(np.float64), np.arange(m)
     for t in range(1, n):
         k = int(score.argmin())
         other = score[k] + (SWITCH_END if ends[t - 1] else SWITCH_INSIDE)
         stay = score <= other
-        back[t] = np.where(stay, np.arange(m), k)
+        back[t] = np.where(stay, own, k)
         score = np.where(stay, score, other) + costs[t]
     out = np.empty(n, np.int64)
     out[-1] = int(score.argmin())

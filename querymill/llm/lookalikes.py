@@ -1,9 +1,9 @@
 """One consistent form of visually identical text.
 
 Suspicious distinct texts are exploded into positioned code points. Broadcast joins give each its full compatibility
-decomposition; combining marks are ordered by class behind their starter and recomposed with it; each run of letters
-is then brought into the alphabet of most of its letters by another broadcast join, and the strings are rebuilt. All
-steps after the explode stay in the partition of the text.
+decomposition, and each letter of a word its look-alike in the alphabet of most of the word's letters; combining marks
+are ordered by class behind their starter and recomposed with it, and the strings are rebuilt. All steps after the
+explode stay in the partition of the text.
 
 The tables hold one row a code point or pair and come from Python's Unicode database, so their size is fixed.
 """
@@ -112,11 +112,28 @@ def plain_forms(texts: DataFrame) -> DataFrame:
     parts = parts.select("id", "pos", F.coalesce("sub", F.lit(0)).alias("sub"), F.when(F.coalesce("sub", F.lit(0)) == 0, F.col("ch")).otherwise("").alias("was"), "x.*")
 
     order = Window.partitionBy("id").orderBy("pos", "sub")
-    grouped = (
+    letter = F.coalesce(F.col("c").rlike(r"^\p{L}$"), F.lit(False))
+    counted = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).over(order)
+    placed = (
         parts.repartition("id")
-        .withColumn("seg", F.sum(F.when(F.col("c").isNotNull() & ~F.col("joins"), 1).otherwise(0)).over(order))
-        .withColumn("inner", F.sum(F.when(F.col("ccc") == 0, 1).otherwise(0)).over(order))
-        .groupBy("id", "seg")
+        .withColumn("letter", letter)
+        .withColumn("seg", counted(F.col("c").isNotNull() & ~F.col("joins")))
+        .withColumn("inner", counted(F.col("ccc") == 0))
+        .withColumn("word", counted(F.col("c").isNotNull() & ~F.col("c").rlike(r"^[\p{L}\p{M}]$")))
+    )
+    per = Window.partitionBy("id", "word")
+    latin, cyrillic, greek = (F.col("letter") & F.col("c").rlike(rf"^\p{{Is{s}}}$") for s in ("Latin", "Cyrillic", "Greek"))
+    number = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).over(per)
+    own_latin, own_cyrillic = latin & ~F.col("c").isin(list(TO_CYRILLIC)), cyrillic & ~F.col("c").isin(list(TO_LATIN))
+    told = placed.select("*", number(latin).alias("l"), number(cyrillic).alias("k"), number(greek).alias("g"), number(own_latin).alias("ol"), number(own_cyrillic).alias("ok"))
+    mixed = F.col("letter") & ((F.col("l") > 0).cast("int") + (F.col("k") > 0).cast("int") + (F.col("g") > 0).cast("int") > 1) & (F.col("l") + F.col("k") > 0)
+    to_latin = (F.col("l") > F.col("k")) | ((F.col("l") == F.col("k")) & (F.col("ol") > F.col("ok")))
+    aimed = told.withColumn("alphabet", F.when(mixed, F.when(to_latin, "L").otherwise("C")))
+    # one row a letter and alphabet: the join adds no rows
+    mapped = aimed.join(F.broadcast(look_alikes(spark)), ["alphabet", "c"], "left").withColumn("c", F.coalesce("same", "c"))
+
+    grouped = (
+        mapped.groupBy("id", "seg")
         .agg(F.array_sort(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("inner", "ccc", "pos", "sub", "c")))).alias("run"), F.array_sort(F.collect_list(F.struct("pos", "sub", "was"))).alias("was"))
         .select("id", "seg", F.array_join(F.col("was.was"), "").alias("was"), F.try_element_at("run", F.lit(1))["c"].alias("starter"), F.when(F.size("run") > 1, F.slice("run", 2, 1 << 30)).alias("marks"))
     )
@@ -124,24 +141,7 @@ def plain_forms(texts: DataFrame) -> DataFrame:
         _recomposed(F.col("marks"), F.col("starter"), F.coalesce("pairs", F.create_map().cast("map<string,string>")))
     )
     pieces = grouped.join(F.broadcast(compositions(spark)), "starter", "left").select("id", "seg", "was", piece.alias("c"))
-
-    letter = F.col("c").rlike(r"^\p{L}$")
-    latin, cyrillic, greek = (F.col("c").rlike(rf"^\p{{Is{s}}}$") for s in ("Latin", "Cyrillic", "Greek"))
-    worded = pieces.withColumn("letter", letter).withColumn("word", F.sum(F.when(letter | (F.col("c") == ""), 0).otherwise(1)).over(Window.partitionBy("id").orderBy("seg")))
-    per = Window.partitionBy("id", "word")
-
-    def count(cond: Column) -> Column:
-        return F.sum(F.when(F.col("letter") & cond, 1).otherwise(0)).over(per)
-
-    own_latin = latin & ~F.col("c").isin(list(TO_CYRILLIC))
-    own_cyrillic = cyrillic & ~F.col("c").isin(list(TO_LATIN))
-    counted = worded.select("id", "seg", "was", "c", "letter", count(latin).alias("l"), count(cyrillic).alias("k"), count(greek).alias("g"), count(own_latin).alias("ol"), count(own_cyrillic).alias("ok"))
-    mixed = F.col("letter") & ((F.col("l") > 0).cast("int") + (F.col("k") > 0).cast("int") + (F.col("g") > 0).cast("int") > 1) & (F.col("l") + F.col("k") > 0)
-    to_latin = (F.col("l") > F.col("k")) | ((F.col("l") == F.col("k")) & (F.col("ol") > F.col("ok")))
-    aimed = counted.withColumn("alphabet", F.when(mixed, F.when(to_latin, "L").otherwise("C")))
-    # one alphabet a letter: the join adds no rows
-    mapped = aimed.join(F.broadcast(look_alikes(spark)), ["alphabet", "c"], "left").select("id", "seg", "was", F.coalesce("same", "c").alias("c"))
-    rebuilt = mapped.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seg", "was", "c"))).alias("s")).select(F.array_join("s.was", "").alias("text"), F.array_join("s.c", "").alias("clean"))
+    rebuilt = pieces.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seg", "was", "c"))).alias("s")).select(F.array_join("s.was", "").alias("text"), F.array_join("s.c", "").alias("clean"))
     return rebuilt.where("text <> clean")
 
 
