@@ -146,11 +146,15 @@ class ConversionGraph:
 _UNITS = sorted({w for words in SPELLINGS.values() for w in words.split()}, key=len, reverse=True)
 _UNIT = re.compile("|".join(map(re.escape, _UNITS)))
 _NUMBER = re.compile(r"\d{1,3}(?:[ ]\d{3})+(?![\d])(?:[.,]\d+)?|\d+(?:[.,]\d+)?")
+_UNGROUPED = re.compile(r"\d+(?:[.,]\d+)?")
 _WORD = re.compile(r"[^\W\d_]+")
-_JOIN = re.compile(r"\s*(?:[x×х*/]|[-–—‐‑]|\bдо\b|\bto\b|\bbis\b|\.\.\.?|…)\s*")
+_JOIN = re.compile(r"/|\s*(?:[x×х*]|[-–—‐‑]|\bдо\b|\bto\b|\bbis\b|\.\.\.?|…)\s*")
 _THOUSAND = re.compile(r"\s*(?:" + "|".join(map(re.escape, sorted(THOUSANDS, key=len, reverse=True))) + r")(?![^\W_])")
 _IN_ONE = re.compile(r"\s*(?:в|in)\s*1(?![\d.,])")
 _GENERATION = {"2", "3", "4", "5", "6"}
+_SPACE = re.compile(r"\s+")
+# Words behind which a number is a version or a place, so it begins no grouped thousand.
+_VERSIONED = re.compile(r"(?:^|\W)(?:win|windows|android|ios|usb|hdmi|bluetooth|bt|fi|wifi|топ|top|номер|серия|версия|version|класс)\s*$")
 
 
 def _word_number(text: str, at: int) -> tuple[Fraction, int] | None:
@@ -189,7 +193,7 @@ def _numbers(text: str, at: int) -> tuple[list[Fraction], list[str], int] | None
     """A number, a range, a size list or a fraction, from ``at``."""
     values, joins, end = [], [], at
     while True:
-        if (m := _NUMBER.match(text, end)) and not (m.end() < len(text) and text[m.end()] == "."  and text[m.end() + 1 : m.end() + 2].isdigit()):
+        if (m := (_NUMBER if not _VERSIONED.search(text, max(0, end - 12), end) else _UNGROUPED).match(text, end)) and not (m.end() < len(text) and text[m.end()] == "."  and text[m.end() + 1 : m.end() + 2].isdigit()):
             raw = m.group().replace(" ", "").replace(",", ".")
             value, stop = Fraction(raw), m.end()
         elif w := _word_number(text, end):
@@ -213,13 +217,14 @@ def _numbers(text: str, at: int) -> tuple[list[Fraction], list[str], int] | None
 def quantities(text: str | None) -> list[tuple[str, Fraction]]:
     """(unit spelling, number) of each quantity that ``text`` states; ``text`` is cleaned and lower case.
 
-    A number counts when a unit follows it, for each number of a range or size list alike. ``a/b`` is a fraction
-    before inches and a list elsewhere. Bare numbers, prices, percentages, versions, codes, mobile generations
+    A number counts when a unit follows it, for each number of a range or size list alike. ``a/b`` (without spaces) is
+    a fraction before inches and a list elsewhere. Any white space counts as one space. Bare numbers, prices, percentages, versions, codes, mobile generations
     (2g to 6g, glued) and "N in 1" don't count.
     """
     out: list[tuple[str, Fraction]] = []
     if not text:
         return out
+    text = _SPACE.sub(" ", text)
     i, n = 0, len(text)
     while i < n:
         c = text[i]

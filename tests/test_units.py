@@ -58,6 +58,11 @@ def test_every_spelling_once(spark):
         ("24'' 15.6\"", [("''", 24.0), ("\"", 15.6)]),
         ("５００ вaтт", [("ватт", 500.0)]),
         ("2 квт·ч", []),
+        ("1  500\tвт", [("вт", 1500.0)]),
+        ("win 11 450 мл", [("мл", 450.0)]),
+        ("55 / 200 вт", [("вт", 200.0)]),
+        ("3 в 1 500 вт", [("вт", 500.0)]),
+        ("5 - 7 kg", [("kg", 5.0), ("kg", 7.0)]),
         ("", []),
     ],
 )
