@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querymill.functions.text import holds_phrase, plain_tokens
 from querymill.operators.stats import capped_classes, stratified_split
+from querymill.sources.tables import stage
 
 NO_BRAND, UNKNOWN = "NO_BRAND", "UNKNOWN"
 
@@ -62,12 +63,10 @@ def weight(brand: Column, confidence: Column) -> Column:
 def training_set(df: DataFrame, least_class: int = 20, special_least: int = 15, share: float = 0.2) -> DataFrame:
     """Labelled rows of 2 to 120 characters, balanced, with tier, weight, supported classes only, split part and label id (special classes last)."""
     rows = df.where(F.col("brand").isNotNull() & F.length("query_norm").between(2, 120))
-    even = capped_classes(rows, "brand", ["query_norm"], [(NO_BRAND, 0.18, 200), (UNKNOWN, 0.12, 150)])
+    even = capped_classes(stage(rows, "labelled"), "brand", ["query_norm"], [(NO_BRAND, 0.18, 200), (UNKNOWN, 0.12, 150)])
     n = even.groupBy("brand").agg(F.count(F.lit(1)).alias("n__"))
     special = F.col("brand").isin(NO_BRAND, UNKNOWN)
     kept = n.where((F.col("n__") >= least_class) | (special & (F.col("n__") >= special_least))).select("brand")
-    from pyspark.sql import Window
-
     ids = kept.withColumn("label_id", F.row_number().over(Window.orderBy(special, "brand")) - 1)  # one row a class
     out = even.join(F.broadcast(ids), "brand")
     out = out.withColumn("tier", tier(F.col("brand"), F.col("confidence"), F.col("n_clicks"), F.col("brand_in_query") | F.col("alias_canon").isNotNull())).withColumn("sample_weight", weight(F.col("brand"), F.col("confidence")))

@@ -165,12 +165,18 @@ def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def capped_classes(df: DataFrame, label: str, key: list[str], caps: list[tuple[str, float, int]], seed: str = "42") -> DataFrame:
     """Class balance: each (class, share, least) in turn is cut to ``greatest(least, floor(share * rows of other classes / (1 - share)))`` rows.
 
-    Rows are chosen in the fixed random order of the key.
+    Rows are chosen in the fixed random order of the key; only the capped classes are ordered. Counts are taken once.
     """
-    out = df
-    for name, share, least in caps:
-        others = out.where(F.col(label) != name).agg(F.greatest(F.lit(least), F.floor(F.lit(share) * F.count(F.lit(1)) / F.lit(1 - share)).cast("int")).alias("cap__"))
-        rn = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(*key, seed=seed), *key))
-        own = out.where(F.col(label) == name).withColumn("rn__", rn).crossJoin(F.broadcast(others)).where("rn__ <= cap__").drop("rn__", "cap__")
-        out = out.where(F.col(label) != name).unionByName(own)
-    return out
+    names = [c for c, _, _ in caps]
+    label_is = lambda c: F.col(label) == c
+    n = df.agg(F.count(F.lit(1)).alias("total__"), *[F.count_if(label_is(c)).alias(f"n{i}__") for i, c in enumerate(names)])
+    total, limits = F.col("total__"), []
+    for i, (_, share, least) in enumerate(caps):
+        own = F.col(f"n{i}__")
+        cap = F.greatest(F.lit(least), F.floor(F.lit(share) * (total - own) / F.lit(1 - share)).cast("long"))
+        limits.append(cap.alias(f"cap{i}__"))
+        total = total - own + F.least(own, cap)
+    rn = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(*key, seed=seed), *key))
+    capped = df.where(F.col(label).isin(names)).withColumn("rn__", rn).crossJoin(F.broadcast(n.select(*limits)))  # one row of caps
+    limit = F.coalesce(*[F.when(label_is(c), F.col(f"cap{i}__")) for i, c in enumerate(names)])
+    return df.where(F.col(label).isNull() | ~F.col(label).isin(names)).unionByName(capped.where(F.col("rn__") <= limit).select(*df.columns))

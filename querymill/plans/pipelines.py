@@ -18,7 +18,7 @@ from querymill.operators import stats as S
 from querymill.operators.metrics import reject
 from querymill.plans.clicks import _VOTE, Q, _md5, log
 from querymill.plans.registry import CORE
-from querymill.sources.tables import table
+from querymill.sources.tables import stage, table
 
 
 # ---- spelling
@@ -153,7 +153,7 @@ def entities_json(spark, sf):
 # ---- training set
 
 def _evidence(spark, sf):
-    votes = C.brand_vote(C.votes(log(spark, sf)))
+    votes = stage(C.brand_vote(C.votes(log(spark, sf))), "votes")
     top = S.top_values(log(spark, sf), "sku_brand_name", 60).select(F.col("value").alias("brand"))
     e = V.evidence(votes, table(spark, sf, "spell_aliases"), table(spark, sf, "benchmark").where("category <> ''").select("category"), top)
     inside = top.select(F.col("brand").alias("alias_canon")).withColumn("alias_in_top", F.lit(True))
