@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from querymill.sources.tables import shuffle_partitions, stage
 
 ID = ["field", "key_value", "measure"]
+#: Rows of a range partition.
+ROWS = 400_000
 
 
 def _number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,7 +56,9 @@ def key_summaries(df: DataFrame, keys: list[str], measures: list[str], chunk_row
         .groupBy("field", "key_value", "v.measure", "v.value").agg(F.count(F.lit(1)).alias("n"))
     )
     order = [*ID, F.col("value").asc_nulls_last()]
-    ranged = counted.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id())
+    # a task holds its partition: at most about ROWS rows, however many the table has
+    n_parts = max(shuffle_partitions(spark), -(-df.count() * len(keys) * len(measures) // ROWS))
+    ranged = counted.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id())
     schema = "field string, key_value string, measure string, value double, n long, pid int, n_values long, local_end long, local_total long"
     numbered = stage(ranged.mapInPandas(_number, schema), "numbered")
 
