@@ -30,8 +30,8 @@ class ValueStore:
     """Values by base group, staged: the state from which any union of base groups is answered."""
 
     def __init__(self, values: DataFrame, groups: list[str], max_groups: int = 1_000_000):
-        """``values``: the columns of ``groups`` and ``value``; null and NaN values are left out, a null group value is a group."""
-        clean = values.select(*groups, F.col("value").cast("double").alias("value")).where("value IS NOT NULL AND NOT isnan(value)")
+        """``values``: the columns of ``groups`` and ``value``; null, NaN and infinite values are left out, a null group value is a group."""
+        clean = values.select(*groups, F.col("value").cast("double").alias("value")).where(F.abs("value") < math.inf)
         self.groups = groups
         self.staged = stage(clean.sortWithinPartitions(*groups, "value"), "values")
         sizes = self.staged.groupBy(*groups).count().limit(max_groups + 1).collect()
@@ -91,15 +91,16 @@ class ValueStore:
                 by_group.setdefault(m, []).append(a)
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            parts = list(batches)
-            if not parts:
-                return
+            # only the numbers of asked groups are kept, eight bytes a value
+            held: dict[tuple, list[np.ndarray]] = {}
+            for pdf in batches:
+                for key, own in pdf.groupby(groups, dropna=False, sort=False)["value"]:
+                    name = tuple(None if x is None or x != x else x for x in (key if isinstance(key, tuple) else (key,)))
+                    if name in by_group:
+                        held.setdefault(name, []).append(own.to_numpy())
             rows = []
-            for key, own in pd.concat(parts).groupby(groups, dropna=False, sort=False)["value"]:
-                name = tuple(None if x is None or x != x else x for x in (key if isinstance(key, tuple) else (key,)))
-                if name not in by_group:
-                    continue
-                v = np.sort(own.to_numpy(), kind="stable")
+            for name, own in held.items():
+                v = np.sort(np.concatenate(own), kind="stable")
                 for i, lo, hi, pivot, gather in by_group[name]:
                     a, z = np.searchsorted(v, lo, "right"), np.searchsorted(v, hi, "left")
                     if lo == -math.inf:

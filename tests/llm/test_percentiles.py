@@ -14,12 +14,12 @@ SHARES = [0.0, 0.5, 0.9, 0.95, 0.99, 1.0]
 def test_groups_unions_ties_and_hot_group(spark):
     rnd = random.Random(8)
     rows = [("hot" if rnd.random() < 0.6 else rnd.choice(["b", None]), f"d{rnd.randrange(3)}", rnd.choice([None, float("nan"), 1.0, 1.0, rnd.gauss(0, 1), rnd.random() * 1e9]), 1) for _ in range(4000)]
-    rows += [("one", "d0", 5.0, 1), ("same", "d0", 2.0, 1), ("same", "d0", 2.0, 1), ("none", "d0", None, 1)]
+    rows += [("one", "d0", 5.0, 1), ("same", "d0", 2.0, 1), ("same", "d0", 2.0, 1), ("none", "d0", None, 1), ("one", "d0", float("inf"), 1)]
     store = ValueStore(spark.createDataFrame(rows, "suite string, day string, value double, target int").repartition(5), ["suite", "day"])
     groups = {g: [g] for g in store.sizes} | {("hot", "d0+d1"): [("hot", "d0"), ("hot", "d1")], ("void", "x"): [("void", "x")]}
     got = store.percentiles(groups, SHARES, block=7)
     for name, members in groups.items():
-        v = sorted(r[2] for r in rows if (r[0], r[1]) in members and r[2] is not None and r[2] == r[2])
+        v = sorted(r[2] for r in rows if (r[0], r[1]) in members and r[2] is not None and abs(r[2]) < math.inf)
         for q in SHARES:
             if v:
                 assert got[name, q] == v[max(0, math.ceil(q * len(v)) - 1)]
