@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querymill.operators.skew import ranked_within
+
 
 def span_counts(gold: DataFrame, pred: DataFrame, key: list[str]) -> DataFrame:
     """``label, tp, fp, fn`` of two span tables; a span is its row, label and ``key`` (token, character or text identity)."""
@@ -55,6 +57,17 @@ def latency_summary(df: DataFrame, by: list[str], value: str, limit: float) -> D
     return out.select(*by, "n", "mean", "sd", "low", "high", *[F.round(F.col("q")[i], 4).alias(c) for i, c in enumerate(("p50", "p90", "p95", "p99"))], (F.col("q")[2] <= limit).alias("within"))
 
 
+def empirical_cdf(df: DataFrame, by: list[str], value: str, name: str = "cdf") -> DataFrame:
+    """Adds the share of a group's other rows with a smaller value; 0 for a single row. A hot group is ranked over many tasks."""
+    r = ranked_within(df, by, [F.col(value)], "r__", "n__")
+    low = r.groupBy(*by, value).agg(F.min("r__").alias("low__"))
+    same = F.col("value__").eqNullSafe(F.col(value))
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}__"))
+    low = low.select(*[F.col(k).alias(f"{k}__") for k in by], F.col(value).alias("value__"), "low__")
+    return r.join(low, same).withColumn(name, F.round(F.when(F.col("n__") > 1, (F.col("low__") - 1) / (F.col("n__") - 1)).otherwise(0.0), 6)).select(*df.columns, name)
+
+
 def threshold_sweep(df: DataFrame, score: Column, correct: Column, grid: list[float]) -> DataFrame:
     """``tau, accepted, coverage, accuracy`` of accepting scores from each threshold on; all thresholds in one pass."""
     rows = df.select(score.alias("s"), correct.cast("int").alias("c"))

@@ -112,3 +112,26 @@ def key_summaries(df: DataFrame, keys: list[str], measures: list[str], chunk_row
 def heavy_keys(summaries: DataFrame, n_total: int, share: float = 0.02) -> DataFrame:
     """The keys that hold at least ``share`` of ``n_total`` rows."""
     return summaries.where(F.col("n_rows") >= n_total * share).select("field", "key_value")
+
+
+def ranked_within(df: DataFrame, key: list[str], order: list[Column], rank: str = "rank", total: str | None = None) -> DataFrame:
+    """Adds the exact rank of each row inside its key, from 1, under a total order, and optionally the key's rows.
+
+    A window would sort a hot key in one task. Here rows are spread by range over (key, order), so a hot key covers many
+    partitions; rows of a sorted partition have consecutive numbers, and prefix sums over the partitions of a key turn
+    them into ranks. Null keys are a key; repeated rows get different ranks.
+    """
+    spark = df.sparkSession
+    by = [*[F.col(k) for k in key], *order]
+    ranged = df.repartitionByRange(shuffle_partitions(spark), *by).sortWithinPartitions(*by)
+    rows = stage(ranged.withColumn("pid__", F.spark_partition_id()).withColumn("nth__", F.monotonically_increasing_id()), "ranked")
+    parts = rows.groupBy(*key, "pid__").agg(F.min("nth__").alias("first__"), F.count(F.lit(1)).alias("n__"))
+    # one row a partition that a key covers
+    w = Window.partitionBy(*key)
+    start = F.sum("n__").over(w.orderBy("pid__")) - F.col("n__") - F.col("first__")
+    told = parts.select(*[F.col(k).alias(f"{k}__") for k in key], F.col("pid__").alias("p__"), start.alias("start__"), F.sum("n__").over(w).alias("all__"))
+    same = F.col("pid__") == F.col("p__")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}__"))
+    out = rows.join(told, same).withColumn(rank, F.col("nth__") + F.col("start__") + 1)
+    return out.select(*df.columns, rank, *([F.col("all__").alias(total)] if total else []))

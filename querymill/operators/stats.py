@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querymill.functions.text import missing
+from querymill.operators.skew import ranked_within
 
 
 def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
@@ -115,12 +116,11 @@ def hashed_sample(df: DataFrame, key: list[str], k: int, by: list[str] | None =
 def stratified_split(df: DataFrame, label: str, key: list[str], share: float, least: int = 1, seed: str = "42") -> DataFrame:
     """Adds ``part``: of each class ``greatest(least, bround(n * share))`` rows are ``val``, the rest ``train``; a single row is train.
 
-    Classes are ordered by a digest, so a hot class is sorted as a whole; that is the meaning of an exact share.
+    Classes are ordered by a digest; a hot class is ranked over many tasks.
     """
-    rn = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(*key, seed=seed), *key))
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    want = F.greatest(F.lit(least), F.bround(n * share, 0).cast("int"))
-    return df.withColumn("n__", n).withColumn("rn__", rn).withColumn("part", F.when((F.col("n__") > 1) & (F.col("rn__") <= want), "val").otherwise("train")).drop("n__", "rn__")
+    r = ranked_within(df, [label], [hash_order(*key, seed=seed), *map(F.col, key)], "rn__", "n__")
+    want = F.greatest(F.lit(least), F.bround(F.col("n__") * share, 0).cast("long"))
+    return r.withColumn("part", F.when((F.col("n__") > 1) & (F.col("rn__") <= want), "val").otherwise("train")).drop("n__", "rn__")
 
 
 def word_counts(df: DataFrame, words: Column, least_size: int = 3, stop: list[str] | None = None) -> DataFrame:
@@ -151,11 +151,6 @@ def collapsing_values(df: DataFrame, col: str, key: Column) -> DataFrame:
     return spelled.groupBy("key").agg(F.array_sort(F.collect_list("v")).alias("variants")).where("size(variants) > 1")
 
 
-def first_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in a total order."""
-    return df.withColumn("rn__", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("rn__ = 1").drop("rn__")
-
-
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Last write wins: of each key the row with the greatest ``order`` values, aggregated before the shuffle."""
     value = F.struct(*order, *[c for c in df.columns if c not in (*key, *order)])
@@ -176,7 +171,7 @@ def capped_classes(df: DataFrame, label: str, key: list[str], caps: list[tuple[s
         cap = F.greatest(F.lit(least), F.floor(F.lit(share) * (total - own) / F.lit(1 - share)).cast("long"))
         limits.append(cap.alias(f"cap{i}__"))
         total = total - own + F.least(own, cap)
-    rn = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(*key, seed=seed), *key))
-    capped = df.where(F.col(label).isin(names)).withColumn("rn__", rn).crossJoin(F.broadcast(n.select(*limits)))  # one row of caps
+    own = ranked_within(df.where(F.col(label).isin(names)), [label], [hash_order(*key, seed=seed), *map(F.col, key)], "rn__")
+    capped = own.crossJoin(F.broadcast(n.select(*limits)))  # one row of caps
     limit = F.coalesce(*[F.when(label_is(c), F.col(f"cap{i}__")) for i, c in enumerate(names)])
     return df.where(F.col(label).isNull() | ~F.col(label).isin(names)).unionByName(capped.where(F.col("rn__") <= limit).select(*df.columns))

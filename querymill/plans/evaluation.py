@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from querymill.operators import facts as X
@@ -102,8 +101,8 @@ def throughput(spark, sf):
 @CORE.add("SELECT suite, run_day, row_id, round(percent_rank() OVER (PARTITION BY suite, run_day ORDER BY server_ms), 6) AS cdf FROM latency_sla_rows WHERE ok AND server_ms IS NOT NULL")
 def latency_cdf(spark, sf):
     """Empirical distribution of the latency within each suite and day."""
-    w = Window.partitionBy("suite", "run_day").orderBy("server_ms")
-    return table(spark, sf, "latency_sla_rows").where("ok AND server_ms IS NOT NULL").select("suite", "run_day", "row_id", F.round(F.percent_rank().over(w), 6).alias("cdf"))
+    df = table(spark, sf, "latency_sla_rows").where("ok AND server_ms IS NOT NULL").select("suite", "run_day", "row_id", "server_ms")
+    return M.empirical_cdf(df, ["suite", "run_day"], "server_ms").drop("server_ms")
 
 
 _GRID = [0.5, 0.55, 0.6, 0.7, 0.8, 0.9]

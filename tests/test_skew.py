@@ -47,3 +47,18 @@ def test_long_key_and_share(spark):
     rows = [("y" * 50_000, None, 1.0, 1, 1, "c")] * 3 + [(f"k{i}", None, 1.0, 1, 1, "c") for i in range(97)]
     df = spark.createDataFrame(rows, SCHEMA)
     assert [r.key_value for r in heavy_keys(key_summaries(df, ["k"], ["x"]), df.count()).collect()] == ["y" * 50_000]
+
+
+def test_ranks_of_a_hot_key(spark):
+    from pyspark.sql import functions as F
+
+    from querymill.operators.skew import ranked_within
+
+    rnd = random.Random(2)
+    rows = [("hot" if rnd.random() < 0.7 else rnd.choice(["a", None]), float(rnd.randrange(40)), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, x double, i int").repartition(7)
+    got = {(r.k, r.i): (r["rank"], r.n) for r in ranked_within(df, ["k"], [F.col("x"), F.col("i")], "rank", "n").collect()}
+    for key in ("hot", "a", None):
+        own = sorted((x, i) for k, x, i in rows if k == key)
+        assert [got[key, i] for _, i in own] == [(n + 1, len(own)) for n in range(len(own))]
+    assert ranked_within(df.limit(0), ["k"], [F.col("x")]).count() == 0
