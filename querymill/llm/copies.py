@@ -17,12 +17,13 @@ def collapse(df: DataFrame, id_col: str, text_col: str, within: list[str], hot_r
     """(records, copies): ``keep_id, n_copies`` of each record and ``keep_id, dup_id`` of each further copy.
 
     A record is the rows of equal ``within`` whose text holds the same words; its representative is the smallest id.
-    Keys of more than ``hot_rows`` rows are found from exact counts, so there are at most rows / hot_rows of them; each is
-    reduced in two levels over salted parts. All other keys go through one shuffle in groups of at most hot_rows ids.
+    Keys of more than ``hot_rows`` rows, or a millionth of all rows if that is more, are found from exact counts, so there
+    are at most a million of them however many rows there are; each is reduced in two levels over salted parts. All other keys go through one shuffle in groups of at most as many ids.
 
     Defined cases: '' and null texts are missing and hold no word, so they are one record within equal ``within``; a null
     in ``within`` or in the id is never a copy and such rows are left out; repeated rows of one id are one row.
     """
+    hot_rows = max(hot_rows, df.count() // 1_000_000)
     keys = [*(f"k{i}" for i in range(len(within))), "words"]
     keyed = df.select(
         F.col(id_col).alias("id"), *[F.col(c).alias(k) for c, k in zip(within, keys, strict=False)], same_words(F.coalesce(text_col, F.lit(""))).alias("words")
