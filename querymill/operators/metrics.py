@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querymill.operators.skew import ranked_within
+from querymill.operators.skew import order_statistics, ranked_within
+from querymill.operators.stats import joined_groups
 
 
 def span_counts(gold: DataFrame, pred: DataFrame, key: list[str]) -> DataFrame:
@@ -52,9 +53,9 @@ def overall(report: DataFrame) -> DataFrame:
 def latency_summary(df: DataFrame, by: list[str], value: str, limit: float) -> DataFrame:
     """Count, mean, population deviation, extremes, percentiles and whether the 95th stays within the limit."""
     x = F.col(value)
-    q = F.percentile(x, F.array(*[F.lit(v) for v in (0.5, 0.9, 0.95, 0.99)]))
-    out = df.where(x.isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_pop(x), 4).alias("sd"), F.min(x).alias("low"), F.max(x).alias("high"), q.alias("q"))
-    return out.select(*by, "n", "mean", "sd", "low", "high", *[F.round(F.col("q")[i], 4).alias(c) for i, c in enumerate(("p50", "p90", "p95", "p99"))], (F.col("q")[2] <= limit).alias("within"))
+    q = order_statistics(df, by, value, [0.5, 0.9, 0.95, 0.99]).drop("n")
+    out = df.where(x.isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_pop(x), 4).alias("sd"), F.min(x).alias("low"), F.max(x).alias("high"))
+    return joined_groups(out, q, by).select(*by, "n", "mean", "sd", "low", "high", *[F.round(f"q{i}", 4).alias(c) for i, c in enumerate(("p50", "p90", "p95", "p99"))], (F.col("q2") <= limit).alias("within"))
 
 
 def empirical_cdf(df: DataFrame, by: list[str], value: str, name: str = "cdf") -> DataFrame:

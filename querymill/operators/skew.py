@@ -20,6 +20,8 @@ from querymill.sources.tables import shuffle_partitions, stage
 ID = ["field", "key_value", "measure"]
 #: Rows of a range partition.
 ROWS = 400_000
+#: Up to so many partitions the offsets of spanning keys, two rows a partition, are broadcast; beyond, they are joined by a shuffle.
+MOST_PARTS = 100_000
 
 
 def _number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,9 +74,10 @@ def key_summaries(df: DataFrame, keys: list[str], measures: list[str], chunk_row
         .withColumn("total", F.sum("part_n").over(w))
         .select(*ID, "pid", "offset", "total")
     )
+    side = F.broadcast(spanning) if n_parts <= MOST_PARTS else spanning
     start = F.coalesce("offset", F.lit(0)) + F.col("local_end") - F.col("n_values")
     ranked = (
-        numbered.join(F.broadcast(spanning), [*ID, "pid"], "left")
+        numbered.join(side, [*ID, "pid"], "left")
         .withColumn("rank", start)
         .withColumn("total", F.coalesce("total", "local_total"))
         .withColumn("chunk", F.floor(F.col("rank") / chunk_rows))
@@ -135,3 +138,20 @@ def ranked_within(df: DataFrame, key: list[str], order: list[Column], rank: str
         same = same & F.col(k).eqNullSafe(F.col(f"{k}__"))
     out = rows.join(told, same).withColumn(rank, F.col("nth__") + F.col("start__") + 1)
     return out.select(*df.columns, rank, *([F.col("all__").alias(total)] if total else []))
+
+
+def order_statistics(df: DataFrame, by: list[str], col: str, shares: list[float]) -> DataFrame:
+    """``by, n, q0, q1, ...``: exact quantiles with linear interpolation of each group's values; null and NaN are left out.
+
+    Values are ranked over many tasks and the few ranks that matter are picked with partial aggregation, so neither a
+    group nor its distinct values must fit anywhere. Equal values are told apart at random, which changes no quantile.
+    """
+    x = df.select(*by, F.col(col).cast("double").alias("x__")).where("x__ IS NOT NULL AND NOT isnan(x__)")
+    r = ranked_within(x.withColumn("tie__", F.rand(7)), by, [F.col("x__"), F.col("tie__")], "r__", "n__")
+    picks = []
+    for i, q in enumerate(shares):
+        at = (F.col("n__") - 1) * F.lit(float(q))
+        picks += [F.max(F.when(F.col("r__") == F.floor(at) + 1, F.col("x__"))).alias(f"low{i}"), F.max(F.when(F.col("r__") == F.ceil(at) + 1, F.col("x__"))).alias(f"high{i}")]
+    out = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *picks)
+    share = lambda q: (F.col("n") - 1) * F.lit(float(q)) - F.floor((F.col("n") - 1) * F.lit(float(q)))
+    return out.select(*by, "n", *[(F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * share(q)).alias(f"q{i}") for i, q in enumerate(shares)])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querymill.functions.text import missing
-from querymill.operators.skew import ranked_within
+from querymill.operators.skew import order_statistics, ranked_within
 
 
 def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
@@ -29,25 +29,35 @@ def missing_profile(df: DataFrame, cols: list[str]) -> DataFrame:
     return one.select("n", rows).select("r.*", F.round(F.try_divide(F.col("r.n_null") + F.col("r.n_blank"), F.col("n")), 6).alias("share_missing"))
 
 
-def describe(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
-    """Count, mean, sample deviation, minimum, quartiles and maximum of a column, by groups."""
+def describe(df: DataFrame, col: str, by: list[str]) -> DataFrame:
+    """Count, mean, sample deviation, minimum, quartiles and maximum of a column, by groups; groups without values have no row."""
     x = F.col(col).cast("double")
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
-    out = df.groupBy(*(by or [])).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("low"), F.max(x).alias("high"), q)
-    return out.select(
-        *(by or []), "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "low", F.round(F.col("q")[0], 6).alias("q25"), F.round(F.col("q")[1], 6).alias("q50"), F.round(F.col("q")[2], 6).alias("q75"), "high"
+    q = order_statistics(df, by, col, [0.25, 0.5, 0.75]).drop("n")
+    out = df.where(x.isNotNull()).groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("low"), F.max(x).alias("high"))
+    return joined_groups(out, q, by).select(
+        *by, "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "low", F.round("q0", 6).alias("q25"), F.round("q1", 6).alias("q50"), F.round("q2", 6).alias("q75"), "high"
     )
 
 
+def joined_groups(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Two tables of one row a group put together; a null group is a group."""
+    if not by:
+        return a.crossJoin(b)  # one row each
+    same = F.lit(True)
+    for k in by:
+        same = same & a[k].eqNullSafe(F.col(f"{k}__"))
+    return a.join(b.withColumnsRenamed({k: f"{k}__" for k in by}), same).drop(*[f"{k}__" for k in by])
+
+
 def quantiles(df: DataFrame, col: str, shares: list[float]) -> DataFrame:
     """``share, value``: exact quantiles with linear interpolation."""
-    one = df.agg(F.percentile(F.col(col).cast("double"), F.array(*map(F.lit, shares))).alias("q"))
-    return one.select(F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col("q").alias("value"))).alias("z")).select("z.share", F.round("z.value", 6).alias("value"))
+    one = order_statistics(df, [], col, shares)
+    return one.select(F.inline(F.array(*[F.struct(F.lit(q).alias("share"), F.round(f"q{i}", 6).alias("value")) for i, q in enumerate(shares)])))
 
 
 def below_quantile(df: DataFrame, col: str, share: float) -> DataFrame:
     """Rows with a value under the quantile of all values; one broadcast row."""
-    bound = df.agg(F.percentile(F.col(col).cast("double"), share).alias("bound__"))
+    bound = order_statistics(df, [], col, [share]).select(F.col("q0").alias("bound__"))
     return df.crossJoin(F.broadcast(bound)).where(F.col(col) < F.col("bound__")).drop("bound__")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from querymill.functions import text as T
 from querymill.operators import clicks as C
 from querymill.operators import stats as S
+from querymill.operators.skew import order_statistics
 from querymill.plans.registry import CORE
 from querymill.sources import readers
 from querymill.sources.tables import table
@@ -177,10 +178,11 @@ for _col, _name in (("query", "top_queries"), ("sku_brand_name", "top_brands"),
 )
 def click_profile(spark, sf):
     """Row and distinct counts, mean and median."""
-    return log(spark, sf).agg(
+    one = log(spark, sf).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("query").alias("n_queries"), F.count_distinct("sku_id").alias("n_skus"), F.count_distinct("sku_brand_name").alias("n_brands"),
-        F.round(F.avg("sku_position"), 6).alias("mean_position"), F.percentile(F.col("sku_position").cast("double"), 0.5).alias("median_position"), F.round(F.avg("sku_price"), 4).alias("mean_price"),
+        F.round(F.avg("sku_position"), 6).alias("mean_position"), F.round(F.avg("sku_price"), 4).alias("mean_price"),
     )
+    return one.crossJoin(order_statistics(log(spark, sf), [], "sku_position", [0.5]).select(F.col("q0").alias("median_position")))
 
 
 _PROFILED = ["query", "sku_name", "sku_brand_name", "sku_price", "notes", "annotator", "label"]
@@ -225,7 +227,7 @@ def ambiguous_queries(spark, sf):
 @CORE.add(f"SELECT sku_position, median(sku_price) AS median_price, count(*) AS n FROM {Q} WHERE sku_price > 0 GROUP BY 1")
 def price_by_position(spark, sf):
     """Median price by position."""
-    return log(spark, sf).where("sku_price > 0").groupBy("sku_position").agg(F.percentile("sku_price", 0.5).alias("median_price"), F.count(F.lit(1)).alias("n"))
+    return order_statistics(log(spark, sf).where("sku_price > 0"), ["sku_position"], "sku_price", [0.5]).select("sku_position", F.col("q0").alias("median_price"), "n")
 
 
 @CORE.add(f"SELECT sku_brand_name, round(avg((sku_position <= 2)::INT), 6) AS top3_share, count(*) AS n FROM {Q} WHERE sku_brand_name <> '' GROUP BY 1 HAVING count(*) >= 20")
