@@ -257,13 +257,14 @@ def segments(docs: DataFrame, trees: ContextTrees, languages: list[str] | None =
 
 def count_sentences(words: list[str], ends: np.ndarray, lang: str) -> int:
     """Sentences of a stretch: by end marks, by capitals where those are missing, and by length where both are."""
-    n, since, capitals = 0, 0, lang not in CAPITAL_NOUNS
+    n, since = 0, 0
+    capitals = lang not in CAPITAL_NOUNS and any(w[0].isupper() and w[1:].islower() for w in words)
     for k, w in enumerate(words):
         since += 1
         nxt = words[k + 1] if k + 1 < len(words) else ""
         if ends[k] or not nxt or (capitals and since >= 4 and nxt[0].isupper() and nxt[1:].islower() and w.islower()):
             if since >= 3:
-                n += max(1, since // (LONG_WITHOUT_CAPITALS if lang in CAPITAL_NOUNS else LONG_SENTENCE))
+                n += max(1, since // (LONG_SENTENCE if capitals else LONG_WITHOUT_CAPITALS))
             since = 0
     return max(n, 1)
 
