@@ -74,11 +74,11 @@ def tokenize_spans(spark, sf):
     return rows(spark, sf).select("cand_id", F.inline(T.token_spans(F.col("query"))))
 
 
-@CORE.add("SELECT cand_id, list_filter(regexp_split_to_array(lower(query), '[^a-zа-я0-9ё.+]+'), lambda x: x <> '') AS t, regexp_extract_all(lower(query), '[a-zа-яё0-9]+') AS p FROM candidates_to_label WHERE query IS NOT NULL")
+@CORE.add("SELECT cand_id, array_to_string(list_filter(regexp_split_to_array(lower(query), '[^a-zа-я0-9ё.+]+'), lambda x: x <> ''), ' ') AS split, array_to_string(regexp_extract_all(lower(query), '[a-zа-яё0-9]+'), ' ') AS plain FROM candidates_to_label WHERE query IS NOT NULL")
 def split_tokens(spark, sf):
     """Tokens by splitting, and plain tokens."""
     q = F.col("query")
-    return rows(spark, sf).select("cand_id", T.split_tokens(F.lower(q)).alias("t"), T.plain_tokens(q).alias("p"))
+    return rows(spark, sf).select("cand_id", F.array_join(T.split_tokens(F.lower(q)), " ").alias("split"), F.array_join(T.plain_tokens(q), " ").alias("plain"))
 
 
 @CORE.add("SELECT cand_id, query AS joined FROM candidates_to_label WHERE query IS NOT NULL")
