@@ -10,6 +10,7 @@ from querymill.functions.text import basic_clean, masked, ngrams, norm_key, simp
 from querymill.functions.udf import indel_ratio
 from querymill.operators import labeler as L
 from querymill.operators.metrics import reject
+from querymill.operators.silver import gate
 from querymill.operators.spell import fix_queries, near_pairs
 from querymill.sources.tables import stage
 
@@ -79,7 +80,8 @@ def extract(queries: DataFrame, phrases: DataFrame, vocabulary: DataFrame, alias
         got = fill(rows.where("brand IS NULL").select("id", "query"), names).select("id", F.col("name").alias("n__"))
         rows = stage(rows.join(got, "id", "left").withColumn("brand_source", F.coalesce("brand_source", F.when(F.col("n__").isNotNull(), source))).withColumn("brand", F.coalesce("brand", "n__")).drop("n__"), "facts")
     if classifier is not None:
-        asked = rows.where("brand IS NULL AND (category IS NULL OR length(query) > length(category) + 3)").select("id", F.col("query").alias("text"))
+        only = F.col("category").isNotNull() & (F.length("query") <= F.length("category") + 3)
+        asked = rows.where(gate(F.col("brand").isNotNull(), only, F.length("query") > 0)).select("id", F.col("query").alias("text"))
         p = classifier.predict(asked)
         got = p.select("id", reject(F.col("top"), F.col("p1"), F.col("margin")).alias("n__")).where("n__ NOT IN ('NO_BRAND', 'UNKNOWN')")
         rows = rows.join(got, "id", "left").withColumn("brand_source", F.coalesce("brand_source", F.when(F.col("n__").isNotNull(), "classifier"))).withColumn("brand", F.coalesce("brand", "n__")).drop("n__")
