@@ -30,14 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
+_STAGED: list[str] = []
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Deletes all tables staged so far, for long sessions, once results are written; says how many there were."""
+    n = len(_STAGED)
+    while _STAGED:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    return n
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, is computed once, survives lost executors.
 
-    The files are deleted when the driver's JVM ends.
+    The files are deleted when the driver's JVM ends, or by ``drop_staged``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)

@@ -56,3 +56,12 @@ def test_last_write_of_a_stream(spark, tmp_path):
         spark.createDataFrame([(1, i, f"v{i}"), (2, -i, f"w{i}")], "k int, o int, v string").coalesce(1).write.mode("append").parquet(d)
     src = spark.readStream.schema("k int, o int, v string").option("maxFilesPerTrigger", 1).parquet(d)
     assert sorted((r.k, r.v) for r in W.latest(src, ["k"], F.col("o"), ["v"]).collect()) == [(1, "v2"), (2, "w0")]
+
+
+def test_staged_tables_can_be_dropped(spark):
+    import os
+
+    from querymill.sources.tables import drop_staged
+
+    f = stage(spark.range(3), "gone").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(f) and drop_staged(spark) >= 1 and not os.path.exists(f) and drop_staged(spark) == 0
