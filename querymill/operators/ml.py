@@ -217,7 +217,11 @@ def principal(vectors: DataFrame, k: int = 2) -> DataFrame:
     return PCA(k=k, inputCol="v", outputCol="p").fit(v).transform(v).select("vec_id", vector_to_array("p").alias("x"))
 
 
-def word_vectors(texts: DataFrame, size: int = 16, least: int = 5, rows: int = 20_000) -> DataFrame:
-    """``word, vector`` learned from at most ``rows`` texts (column ``text``) in a fixed random order."""
-    t = texts.where("text IS NOT NULL").orderBy(F.md5("text")).limit(rows).select(plain_tokens(F.col("text")).alias("t"))
-    return Word2Vec(vectorSize=size, minCount=least, seed=42, inputCol="t", outputCol="o", numPartitions=1).fit(t).getVectors().select("word", vector_to_array("vector").alias("vector"))
+def word_vectors(texts: DataFrame, size: int = 16, least: int = 5, parts: int = 8) -> DataFrame:
+    """``word, vector`` learned from all texts (column ``text``); a word needs ``least`` occurrences in the whole table.
+
+    ``parts`` tasks learn from a share of the texts each, and their vectors are averaged. The words are the same on any
+    cluster; the vectors depend on the order in which a task meets its texts.
+    """
+    t = texts.where("text IS NOT NULL").select(plain_tokens(F.col("text")).alias("t"))
+    return Word2Vec(vectorSize=size, minCount=least, seed=42, inputCol="t", outputCol="o", numPartitions=parts).fit(t).getVectors().select("word", vector_to_array("vector").alias("vector"))

@@ -127,3 +127,8 @@ def test_audit_and_mining_of_nothing(spark):
     assert {r.n for r in quality.audit(c).collect()} == {0}
     assert mining.brands(c, "sku_brand_name").count() == 0
     assert silver.assigned(spark.createDataFrame([], "category_only boolean, alias_canon string, alias_in_top boolean, brand_in_query boolean, in_top boolean, confidence double, n_clicks long, n_brands long, click_brand string")).count() == 0
+
+
+def test_word_vectors_count_over_all_texts(spark):
+    t = spark.range(24_000).select(F.format_string("w%d n%d", F.floor(F.col("id") / 5), "id").alias("text"))
+    assert {r.word for r in ml.word_vectors(t, size=2).collect()} == {f"w{i}" for i in range(4800)}
