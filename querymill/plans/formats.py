@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from querymill.plans.clicks import strip_sql
 from querymill.plans.registry import CORE
+from querymill.plans.text import _W, _dash, _spaced
 from querymill.sources import readers as R
 from querymill.sources.tables import shared_dir, table
 
@@ -25,6 +26,14 @@ def format_csv(spark, sf):
     return R.read_csv(spark, p, "cand_id long, query string, label int")
 
 
+@CORE.add("SELECT cand_id, query, label FROM candidates_to_label WHERE label IS NOT NULL")
+def format_csv_all(spark, sf):
+    """All labels written as CSV and read back, whatever their queries hold."""
+    p = _place(spark)
+    R.write_csv(table(spark, sf, "candidates_to_label").where("label IS NOT NULL").select("cand_id", "query", "label"), p)
+    return R.read_csv(spark, p, "cand_id long, query string, label int")
+
+
 @CORE.add("SELECT sku_id, name, brand, price FROM flat_catalog WHERE sku_id % 3 <> 0 UNION ALL SELECT sku_id, name, 'new', price FROM flat_catalog WHERE sku_id % 3 = 0")
 def format_upsert(spark, sf):
     """Rows upserted twice into a JSON lines store."""
@@ -71,3 +80,13 @@ def format_phrases(spark, sf):
     p = _place(spark)
     R.write_phrases(table(spark, sf, "brands").where(~F.col("brand").rlike("[^A-Za-z ]")), "brand", p)
     return R.lines(spark, p)
+
+
+@CORE.add(
+    f"SELECT DISTINCT key AS phrase FROM (SELECT {_spaced(f'''regexp_replace({_dash(f"regexp_replace(translate(lower({strip_sql('brand')}), 'ё', 'е'), '[_\\x{{A0}}]+', ' ', 'g')")}, '[^{_W}\\s\\p{{Z}}\\x{{85}}.\\-]', ' ', 'g')''')} AS key FROM brands) WHERE key <> ''"
+)
+def format_phrases_all(spark, sf):
+    """All brands written as a phrase list and read back."""
+    p = _place(spark)
+    R.write_phrases(table(spark, sf, "brands"), "brand", p)
+    return R.lines(spark, p)

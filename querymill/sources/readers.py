@@ -81,15 +81,19 @@ def catalog_offers(spark: SparkSession, path: str, most: int | None = None) -> D
     return out.orderBy("offer_id").limit(most) if most else out
 
 
+#: Values keep line ends, quotes (doubled), backslashes and outer white space; '' is quoted, null is not.
+CSV = {"multiLine": True, "lineSep": "\n", "quote": '"', "escape": '"', "charToEscapeQuoteEscaping": "\0", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header whose first line carries the byte order mark that spreadsheets look for."""
     first = df.columns[0]
-    df.withColumnRenamed(first, "\ufeff" + first).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.withColumnRenamed(first, "\ufeff" + first).coalesce(1).write.mode("overwrite").options(header=True, **CSV).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header, with or without the byte order mark; the schema is given, never inferred."""
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
+    return spark.read.schema(schema).options(header=True, enforceSchema=True, nullValue="\ufdd0", **CSV).csv(path)
 
 
 def upsert(spark: SparkSession, rows: DataFrame, path: str, key: list[str], order: list[str]) -> None:

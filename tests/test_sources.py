@@ -65,3 +65,10 @@ def test_staged_tables_can_be_dropped(spark):
 
     f = stage(spark.range(3), "gone").inputFiles()[0].removeprefix("file://")
     assert os.path.exists(f) and drop_staged(spark) >= 1 and not os.path.exists(f) and drop_staged(spark) == 0
+
+
+def test_csv_keeps_every_value(spark, tmp_path):
+    p = str(tmp_path / "csv")
+    values = [None, "", " a ", "a\nb", "a\r\nb", "\r", 'a"b', '"', "\\", 'a\\"b', 'x"\\', ",", " x", "  ", '"\n,"', "null"]
+    R.write_csv(spark.createDataFrame(list(enumerate(values)), "a int, b string"), p)
+    assert {r.a: r.b for r in R.read_csv(spark, p, "a int, b string").collect()} == dict(enumerate(values))
