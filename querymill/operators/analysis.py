@@ -76,3 +76,10 @@ def assemble_tags(bio: Column, types: Column) -> Column:
 def typed(text: Column, top: Column, p1: Column, tau: float = 0.55) -> Column:
     """The classifier's type from ``tau`` on, else the rules'; spans that look like a model are unknown."""
     return F.when(looks_like_model(text), "UNKNOWN").when(p1 >= tau, top).otherwise(attribute_type(text))
+
+
+def served(text: Column, top: Column, p1: Column, tau: float = 0.55) -> Column:
+    """The classifier's type from ``tau`` on; where it is unsure or says other, or the span looks like a model, the rules' type if they have one, else UNKNOWN or other."""
+    label = F.when(looks_like_model(text), "UNKNOWN").when(p1 >= tau, top).otherwise("UNKNOWN")
+    rules = attribute_type(text)
+    return F.when(label.isin("UNKNOWN", "other") & (rules != "other"), rules).otherwise(label)

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querymill.functions.attributes import attribute_type
+from querymill.functions.bio import spans
 from querymill.functions.text import basic_clean, masked, ngrams, norm_key, simple_key, split_tokens, title_phrases, tokens
 from querymill.functions.udf import indel_ratio
 from querymill.operators import labeler as L
+from querymill.operators.analysis import served
 from querymill.operators.metrics import reject
 from querymill.operators.silver import gate
 from querymill.operators.spell import fix_queries, near_pairs
@@ -63,18 +65,28 @@ def preprocess(queries: DataFrame, models: DataFrame, protected: DataFrame) -> D
     return out.select("id", "text", "text_norm", "tokens", "hints", "model_spans", "protected_spans")
 
 
-def extract(queries: DataFrame, phrases: DataFrame, vocabulary: DataFrame, aliases: DataFrame, names: DataFrame, classifier=None) -> DataFrame:  # noqa: ANN001
+def extract(queries: DataFrame, phrases: DataFrame, vocabulary: DataFrame, aliases: DataFrame, names: DataFrame, classifier=None, tagger=None, typer=None) -> DataFrame:  # noqa: ANN001
     """``id, fixed, n_fixes, brand, brand_source, category, model, attributes`` of queries (id, query): the whole cascade.
 
-    Spelling, then weak labels and their facts; a missing brand is filled by an alias, by the fuzzy ratio, by a
+    Spelling, then weak labels, with the ``tagger`` its entities where the rules leave room, and with the ``typer`` its
+    attribute types, by the rules where it rejects; then their facts; a missing brand is filled by an alias, by the fuzzy ratio, by a
     contained name, and last by the classifier, whose answers pass the reject policy and which is asked only where some
     token is left that isn't part of a category. Every stage sees only the queries that the ones before left open.
     """
     fixed = stage(fix_queries(queries, vocabulary, aliases), "fixed")
     text = fixed.select("id", F.col("fixed").alias("query"))
-    labelled = L.label(text, phrases)
-    facts = L.structured(L.entities(labelled), phrases)
-    rows = text.join(facts, "id", "left").withColumn("brand_source", F.when(F.col("brand").isNotNull(), "rules"))
+    labelled = stage(L.label(text, phrases), "labelled")
+    if tagger is not None:
+        labelled = stage(labelled.join(tagger.predict(labelled.select("id", F.col("tokens.token").alias("tokens"))), "id", "left"), "labelled")
+    found = L.entities(labelled)
+    if typer is not None:
+        found = stage(found, "entities")
+        types = typer.predict(found.where("label = 'ATTR'").select("text").distinct()).select(F.col("text").alias("t__"), served(F.col("text"), F.col("top"), F.col("p1")).alias("type__"))
+        found = found.join(types, (F.col("label") == "ATTR") & (F.col("text") == F.col("t__")), "left").withColumn("attr_type", F.coalesce("type__", "attr_type")).drop("t__", "type__")
+    facts = L.structured(found, phrases)
+    first = F.get(F.filter(L.all_spans(labelled), lambda s: s["label"] == "BRAND"), F.lit(0))
+    source = labelled.select("id", spans(F.col("tags")).alias("r"), first.alias("b")).select("id", F.when(F.array_contains("r", F.col("b")), "rules").otherwise("tagger").alias("s__"))
+    rows = text.join(facts, "id", "left").join(source, "id", "left").withColumn("brand_source", F.when(F.col("brand").isNotNull(), F.col("s__"))).drop("s__")
     rows = stage(rows, "facts")
     for source, fill in (("fuzzy", fuzzy_fill), ("substring", substring_fill)):
         got = fill(rows.where("brand IS NULL").select("id", "query"), names).select("id", F.col("name").alias("n__"))

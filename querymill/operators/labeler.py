@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querymill.functions.attributes import PURPOSES, TYPES, attribute_type, pattern_spans
-from querymill.functions.bio import spans
+from querymill.functions.bio import SPAN, merged, spans
 from querymill.functions.text import label_key, ngrams, parted_numbers, token_spans
 from querymill.operators.facts import COLORS
 
@@ -88,9 +88,18 @@ def purpose_spans(text: Column) -> Column:
     return F.transform(tail, lambda t, i: F.struct((end(i) - F.length(t)).alias("start"), end(i).alias("end")))
 
 
+def all_spans(labelled: DataFrame) -> Column:
+    """The spans of the rules, and with a column ``pred`` those of the tagger where the rules leave room, by start."""
+    own = spans(F.col("tags"))
+    return merged(own, F.coalesce(spans(F.col("pred")), F.array().cast(SPAN))) if "pred" in labelled.columns else own
+
+
 def entities(labelled: DataFrame) -> DataFrame:
-    """``id, text, label, start, end, attr_type`` of each entity; text cut from the labelled text."""
-    e = labelled.select("id", "text", "tokens", F.explode(spans(F.col("tags"))).alias("s"))
+    """``id, text, label, start, end, attr_type`` of each entity; text cut from the labelled text.
+
+    With a column ``pred`` (tags of a sequence tagger), its entities that overlap none of the rules' are added.
+    """
+    e = labelled.select("id", "text", "tokens", F.explode(all_spans(labelled)).alias("s"))
     start, end = F.get("tokens", F.col("s.start"))["start"], F.get("tokens", F.col("s.end") - 1)["end"]
     cut = e.select("id", F.col("s.label").alias("label"), start.alias("start"), end.alias("end"), F.substring(F.col("text"), start + 1, end - start).alias("text"))
     return cut.withColumn("attr_type", F.when(F.col("label") == "ATTR", attribute_type(F.col("text"))))

@@ -61,15 +61,20 @@ def _classifier(spark, sf):
     return ml.BrandClassifier().fit(stage(rows, "training").where("part = 'train'"))
 
 
-def _cascade(spark, sf, classifier=None):
+def _typer(spark, sf):
+    rows = attribute_rows(spark, sf).select(F.col("span_text").alias("text"), F.col("type").alias("label"), F.lit(1.0).alias("weight"))
+    return ml.BrandClassifier().fit(stage(rows, "spans"))
+
+
+def _cascade(spark, sf, classifier=None, tagger=None, typer=None):
     phrases = L.dictionary(lists(spark, sf))
-    return X.extract(queries(spark, sf), phrases, vocabulary(spark, sf), table(spark, sf, "spell_aliases"), names(spark, sf), classifier)
+    return X.extract(queries(spark, sf), phrases, vocabulary(spark, sf), table(spark, sf, "spell_aliases"), names(spark, sf), classifier, tagger, typer)
 
 
 @CORE.add()
 def cascade_facts(spark, sf):
     """Facts of every query by the whole cascade, with the stage that gave the brand."""
-    return _cascade(spark, sf, _classifier(spark, sf))
+    return _cascade(spark, sf, _classifier(spark, sf), ml.Tagger().fit(_sentences(spark, sf)), _typer(spark, sf))
 
 
 @CORE.add()

@@ -132,3 +132,22 @@ def test_audit_and_mining_of_nothing(spark):
 def test_word_vectors_count_over_all_texts(spark):
     t = spark.range(24_000).select(F.format_string("w%d n%d", F.floor(F.col("id") / 5), "id").alias("text"))
     assert {r.word for r in ml.word_vectors(t, size=2).collect()} == {f"w{i}" for i in range(4800)}
+
+
+def test_cascade_asks_tagger_and_typer(spark):
+    one = lambda rows, s: spark.createDataFrame(rows, s)
+
+    class Tagger:
+        def predict(self, df):
+            return df.select("id", F.transform("tokens", lambda t: F.when(t == "зоргатрон", "B-BRAND").when(t == "сталь", "B-ATTR").when(t == "чайник", "B-MODEL").otherwise("O")).alias("pred"))
+
+    class Typer:
+        def predict(self, df):
+            return df.withColumn("top", F.lit("material")).withColumn("p1", F.when(F.col("text") == "сталь", 0.9).otherwise(0.2))
+
+    lists = {"brand": one([("Bosch",)], "name string"), "category": one([("чайник",)], "name string"), "model": one([("qwe",)], "name string")}
+    words = one([("зоргатрон",), ("чайник",), ("сталь",), ("bosch",)], "w string")
+    q = one([(1, "чайник зоргатрон сталь 16 гб"), (2, "bosch чайник")], "id int, query string")
+    out = cascade.extract(q, labeler.dictionary(lists), words, one([("Sony", "сони")], "canon string, alias string"), one([("Bosch",)], "name string"), None, Tagger(), Typer())
+    got = {r.id: (r.brand, r.brand_source, r.category, r.model, r.attributes) for r in out.collect()}
+    assert got == {1: ("зоргатрон", "tagger", "чайник", None, {"material": ["сталь"], "memory_storage": ["16 гб"]}), 2: ("Bosch", "rules", "чайник", None, None)}
