@@ -284,8 +284,9 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 #: From here on doubles skip whole numbers.
 MOST = 9e15
 
-#: Rows without a digit and without a number word state nothing.
-MAY_STATE = r"(?iu)\p{N}|" + "|".join(sorted({w[:3] for w in NUMBER_WORDS}))
+#: Rows without a digit and without a number word state nothing, but for those that ``plain`` may change: with anything
+#: beyond ASCII and the Russian letters, or two alphabets side by side.
+MAY_STATE = r"(?iu)\p{N}|(?-i:[^\x00-\x7Fа-яА-ЯёЁ]|[A-Za-z][а-яА-ЯёЁ]|[а-яА-ЯёЁ][A-Za-z])|" + "|".join(sorted({w[:3] for w in NUMBER_WORDS}))
 
 
 def stated_quantities(texts: DataFrame, graph: ConversionGraph | None = None, spellings: dict[str, str] | None = None) -> DataFrame:

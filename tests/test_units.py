@@ -76,3 +76,9 @@ def test_operator_on_odd_rows(spark):
     got = sorted(map(tuple, stated_quantities(df).collect()), key=str)
     assert got == sorted([("t", 1, "mass", 1000), ("t", 4, "storage", 2048), (None, 5, "length", 12700)], key=str)
     assert stated_quantities(df.limit(0)).count() == 0
+
+
+def test_number_words_with_odd_letters_are_read(spark):
+    texts = ["двa литра", "п​олтора метра", "ｏne kg", "два литра", "слово"]
+    got = stated_quantities(spark.createDataFrame([("t", i, x) for i, x in enumerate(texts)], "tab string, row_id long, text string"))
+    assert sorted((r.row_id, r.dim, r.base_value) for r in got.collect()) == [(0, "volume", 2000), (1, "length", 1500000), (2, "mass", 1000), (3, "volume", 2000)]
