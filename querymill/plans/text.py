@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from querymill.functions import bio as B
 from querymill.functions import text as T
+from querymill.operators.spell import near_pairs
 from querymill.plans.clicks import strip_sql
 from querymill.plans.registry import CORE
 from querymill.sources.tables import table
@@ -143,6 +144,14 @@ def near_brands(spark, sf):
     return a.join(b, "s").where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 2) & (d <= 5)).select("a", "b", d.alias("d"))
 
 
+@CORE.add("SELECT a.w AS a, b.w AS b, levenshtein(a.w, b.w)::INT AS d FROM (SELECT DISTINCT lower(unnest(regexp_extract_all(brand, '[a-zA-Z]{5,}'))) AS w FROM brands) a JOIN (SELECT DISTINCT lower(unnest(regexp_extract_all(brand, '[a-zA-Z]{5,}'))) AS w FROM brands) b ON a.w < b.w AND abs(length(a.w) - length(b.w)) <= 2 WHERE levenshtein(a.w, b.w) <= 5")
+def near_brands_all(spark, sf):
+    """Pairs of brand words of at most five edits, whatever they start with."""
+    w = table(spark, sf, "brands").select(F.explode(F.regexp_extract_all("brand", F.lit("[a-zA-Z]{5,}"), F.lit(0))).alias("w")).select(F.lower("w").alias("w")).distinct()
+    pairs = near_pairs(w.withColumnRenamed("w", "t"), w, lambda n, m: F.lit(5), 2)
+    return pairs.where("t < w").select(F.col("t").alias("a"), F.col("w").alias("b"), F.levenshtein("t", "w").alias("d")).where("d <= 5")
+
+
 @CORE.add("SELECT item_id, coalesce(length(query), 0) AS size FROM benchmark")
 def text_sizes(spark, sf):
     """Characters of each query, 0 for null."""

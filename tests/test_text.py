@@ -104,3 +104,22 @@ def test_plain_is_idempotent_and_keeps_plain_text():
     assert plain("Обычный text 12, ё!") == "Обычный text 12, ё!"
     assert (plain("cмартфон"), plain("пыле­сос"), plain("ㅤ"), plain(None)) == ("смартфон", "пылесос", "", "")
     assert fold("Pésogrirt Ёй") == "pesogrirt ей"
+
+
+def test_near_brands_against_brute_force(spark, sf):
+    import re
+
+    from querymill.plans.text import near_brands_all
+    from querymill.sources.tables import table
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    words = sorted({w.lower() for r in table(spark, sf, "brands").collect() for w in re.findall("[a-zA-Z]{5,}", r.brand or "")})
+    want = {(a, b, d) for a in words for b in words if a < b and abs(len(a) - len(b)) <= 2 and (d := edits(a, b)) <= 5}
+    assert any(a[:2] != b[:2] for a, b, _ in want) and {tuple(r) for r in near_brands_all(spark, sf).collect()} == want
