@@ -112,6 +112,34 @@ def key_summaries(df: DataFrame, keys: list[str], measures: list[str], chunk_row
     return merged.groupBy("field", "key_value").agg(*picked)
 
 
+#: Keys of more rows than this may be hot, and only this many of the most frequent are split; any other key has less than a share of 1 / MOST_HOT of the rows.
+HOT_ROWS, MOST_HOT, SALTS = 10_000, 1_000, 64
+
+
+def hot_hashes(rows: DataFrame, key: list[str], least: int = HOT_ROWS) -> list[int]:
+    """64-bit hashes of the most frequent keys, at most ``MOST_HOT`` numbers; counts are combined before the shuffle."""
+    counts = rows.groupBy(F.xxhash64(*key).alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    return [r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(MOST_HOT).collect()]
+
+
+def salted_join(rows: DataFrame, side: DataFrame, key: list[str], how: str = "inner", salts: int = SALTS, hot: list[int] | None = None, least: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined with ``side`` on ``key``, where the rows of a hot key are spread over ``salts`` tasks.
+
+    Hot keys are told by hash; a cold key of the same hash is spread as well, so the result is that of the plain join.
+    The side's rows of hot keys are repeated for each salt, so a key should have few of them. ``how`` is any join that
+    keeps no unmatched row of the side. Null keys match nothing.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError("unmatched rows of the side would be repeated")
+    hot = hot_hashes(rows, key, least) if hot is None else hot
+    if not hot:
+        return rows.join(side, key, how)
+    is_hot = F.xxhash64(*key).isin(hot)
+    spread = rows.withColumn("salt__", F.when(is_hot, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, t in rows.dtypes if "map<" not in t]), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
+    every = side.withColumn("salt__", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return spread.join(every, [*key, "salt__"], how).drop("salt__")
+
+
 def heavy_keys(summaries: DataFrame, n_total: int, share: float = 0.02) -> DataFrame:
     """The keys that hold at least ``share`` of ``n_total`` rows."""
     return summaries.where(F.col("n_rows") >= n_total * share).select("field", "key_value")
