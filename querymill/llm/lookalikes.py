@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querymill.functions.chars import GREEK_CYRILLIC, GREEK_LATIN, HYPHENS, INVISIBLE, SPACES, TO_CYRILLIC, TO_LATIN
+from querymill.operators.skew import salted_join
 from querymill.sources.tables import stage
 
 #: A superset of what can need a change: anything beyond ASCII and the Russian letters, or two alphabets side by side.
@@ -104,7 +105,7 @@ def plain_forms(texts: DataFrame) -> DataFrame:
     have no look-alike, else to Cyrillic; letters without a look-alike stay.
     """
     spark = texts.sparkSession
-    distinct = stage(texts.select("text").where(F.col("text").rlike(SUSPICIOUS)).distinct(), "suspicious").withColumn("id", F.monotonically_increasing_id())
+    distinct = stage(texts.select("text").where(F.col("text").rlike(SUSPICIOUS)).distinct().withColumn("id", F.monotonically_increasing_id()), "suspicious")
     points = distinct.select("id", F.posexplode(F.split("text", "")).alias("pos", "ch")).where("ch <> ''")
     seq = F.coalesce("seq", F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("ccc"), F.lit(False).alias("joins"))))
     # an invisible character leaves one row without a character, which carries the original along
@@ -146,6 +147,6 @@ def plain_forms(texts: DataFrame) -> DataFrame:
 
 
 def plain_rows(texts: DataFrame) -> DataFrame:
-    """``tab, row_id, clean`` of the rows (``tab, row_id, text``) whose text isn't plain; a hot text is split by the skew join."""
+    """``tab, row_id, clean`` of the rows (``tab, row_id, text``) whose text isn't plain; the rows of a hot text are spread over many tasks."""
     rows = texts.select("tab", "row_id", "text").where(F.col("text").rlike(SUSPICIOUS))
-    return rows.join(plain_forms(texts), "text").select("tab", "row_id", "clean")
+    return salted_join(rows, plain_forms(texts), ["text"]).select("tab", "row_id", "clean")

@@ -13,6 +13,7 @@ from querymill.llm.leaks import leaks
 from querymill.llm.lookalikes import plain_rows
 from querymill.llm.packing import CAPACITY, pack, token_counts
 from querymill.llm.percentiles import ValueStore, delivered_once
+from querymill.operators.skew import salted_join
 from querymill.plans.registry import Register
 from querymill.sources.tables import stage, table
 
@@ -128,7 +129,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     typed = table(spark, sf, "benchmark").where("brand <> ''").select(F.lit("benchmark").alias("tab"), F.col("item_id").alias("row_id"), F.col("brand").alias("text"))
     named = table(spark, sf, "candidates_to_label").where("query <> ''").select(F.lit("candidates_to_label").alias("tab"), F.col("cand_id").alias("row_id"), F.col("query").alias("text"))
     rows = typed.unionByName(named)
-    found = rows.join(Reference(brands, aliases).match(rows), "text", "left")
+    found = salted_join(rows, Reference(brands, aliases).match(rows), ["text"], "left")
     return found.select("tab", "row_id", F.coalesce("entry_id", F.lit(0).cast("long")).alias("brand_id")).where("tab = 'benchmark' OR brand_id > 0")
 
 
