@@ -127,7 +127,8 @@ def salted_join(rows: DataFrame, side: DataFrame, key: list[str], how: str = "in
 
     Hot keys are told by hash; a cold key of the same hash is spread as well, so the result is that of the plain join.
     The side's rows of hot keys are repeated for each salt, so a key should have few of them. ``how`` is any join that
-    keeps no unmatched row of the side. Null keys match nothing.
+    keeps no unmatched row of the side. Null keys match nothing. Salts are drawn from all columns of a row, so that a task
+    run again draws the same; rows equal in all columns stay together.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("unmatched rows of the side would be repeated")

@@ -62,3 +62,16 @@ def test_ranks_of_a_hot_key(spark):
         own = sorted((x, i) for k, x, i in rows if k == key)
         assert [got[key, i] for _, i in own] == [(n + 1, len(own)) for n in range(len(own))]
     assert ranked_within(df.limit(0), ["k"], [F.col("x")]).count() == 0
+
+
+def test_salted_join_is_the_plain_join(spark):
+    from querymill.operators.skew import salted_join
+
+    rnd = random.Random(3)
+    rows = spark.createDataFrame([("hot" if rnd.random() < 0.5 else rnd.choice(["a", "b", None, ""]), i, {"m": i}) for i in range(3000)], "k string, i int, m map<string,int>")
+    side = spark.createDataFrame([("hot", 1), ("hot", 2), ("a", 3), (None, 4), ("z", 5)], "k string, v int")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = salted_join(rows, side, ["k"], how, salts=7, least=500).drop("m")
+        assert sorted(got.collect(), key=str) == sorted(rows.join(side, "k", how).drop("m").collect(), key=str)
+    assert salted_join(rows.limit(0), side, ["k"]).count() == 0
+    assert salted_join(rows, side.limit(0), ["k"], "left", least=500).count() == 3000
