@@ -35,10 +35,10 @@ def _marked_terms(spark: SparkSession, sf: str) -> DataFrame:
     return marked(term_counts(df, TERM_FIELDS), df.count())
 
 
-@LLM.add(_MARKED)
+@LLM.add(f"SELECT field, row_number() OVER (ORDER BY encode(field), encode(term)) - 1 AS term_id, term, n, n_records, mark FROM ({_MARKED})")
 def p4_term_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Occurrences and candidate rows of every term, and its mark."""
-    return _marked_terms(spark, sf).drop("term_id")
+    """Occurrences and candidate rows of every term, its number and its mark."""
+    return _marked_terms(spark, sf)
 
 
 @LLM.add(f"SELECT field, term, mark FROM ({_MARKED}) WHERE mark IS NOT NULL")
