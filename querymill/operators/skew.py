@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,24 +19,63 @@ from pyspark.sql import functions as F
 from querymill.sources.tables import shuffle_partitions, stage
 
 ID = ["field", "key_value", "measure"]
-#: Rows of a range partition.
-ROWS = 400_000
-#: Up to so many partitions the offsets of spanning keys, two rows a partition, are broadcast; beyond, they are joined by a shuffle.
-MOST_PARTS = 100_000
+#: Pre-aggregated rows of a range partition, and range partitions at most; beyond, partitions grow, of which a task holds one key's numbers.
+ROWS, MOST_PARTS = 2_000_000, 20_000
 
 
 def _number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Running and total counts of values of each key's part in this sorted partition; nulls come last and don't count.
 
-    A range partition holds its share of the rows whatever the keys are, so it fits a task's memory.
+    Rows stream by key: of the key that may go on in the next batch the numbers are held, 16 bytes a row. ``edge`` is 1
+    for the partition's first key, 2 for its last, else 0: only these may have rows in another partition.
     """
-    parts = list(batches)
-    if not parts:
-        return
-    pdf = pd.concat(parts, ignore_index=True)
-    pdf["n_values"] = pdf["n"].where(pdf["value"].notna(), 0)
-    by = pdf.groupby(ID, sort=False)["n_values"]
-    yield pdf.assign(local_end=by.cumsum(), local_total=by.transform("sum"))
+    begin: tuple | None = None
+    name: tuple = ()
+    values: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    pid = 0
+
+    def told(finish: bool = False) -> Iterator[pd.DataFrame]:
+        edge = 1 if name == begin else 2 if finish else 0
+        v, n = np.concatenate(values), np.concatenate(counts)
+        own = np.where(np.isnan(v), 0, n)
+        end = np.cumsum(own)
+        for at in range(0, len(v), 100_000):
+            cut = slice(at, at + 100_000)
+            yield pd.DataFrame({"field": name[0], "key_value": name[1], "measure": name[2], "value": v[cut], "n": n[cut], "pid": pid, "n_values": own[cut], "local_end": end[cut], "local_total": end[-1], "edge": edge})
+
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        pid = int(pdf["pid"].iloc[0])
+        code = pd.MultiIndex.from_frame(pdf[ID]).factorize()[0]
+        starts = np.flatnonzero(np.diff(code, prepend=-1))
+        first = tuple(pdf[ID].iloc[0])
+        fresh = begin is None
+        begin = first if fresh else begin
+        if values and first != name:
+            yield from told()
+            values, counts = [], []
+        last = int(starts[-1])
+        if last:
+            # the keys that end in this batch, at once
+            head = pdf.iloc[:last]
+            if values:
+                stop = int(starts[1])
+                values.append(head["value"].to_numpy(float)[:stop])
+                counts.append(head["n"].to_numpy()[:stop])
+                yield from told()
+                values, counts = [], []
+                head, code = head.iloc[stop:], code[stop:]
+            if len(head):
+                own = head["n"].where(head["value"].notna(), 0)
+                by = own.groupby(code[: len(head)], sort=False)
+                yield head.assign(n_values=own, local_end=by.cumsum(), local_total=by.transform("sum"), edge=np.where(fresh & (code[: len(head)] == 0), 1, 0))
+        name = tuple(pdf[ID].iloc[-1])
+        values.append(pdf["value"].to_numpy(float)[last:])
+        counts.append(pdf["n"].to_numpy()[last:])
+    if values:
+        yield from told(finish=True)
 
 
 def key_summaries(df: DataFrame, keys: list[str], measures: list[str], chunk_rows: int = 100_000) -> DataFrame:
@@ -57,27 +97,20 @@ def key_summaries(df: DataFrame, keys: list[str], measures: list[str], chunk_row
         .select("f.*", values)
         .groupBy("field", "key_value", "v.measure", "v.value").agg(F.count(F.lit(1)).alias("n"))
     )
+    counted = stage(counted, "counted")
     order = [*ID, F.col("value").asc_nulls_last()]
-    # a task holds its partition: at most about ROWS rows, however many the table has
-    n_parts = max(shuffle_partitions(spark), -(-df.count() * len(keys) * len(measures) // ROWS))
+    n_parts = max(shuffle_partitions(spark), min(MOST_PARTS, -(-counted.count() // ROWS)))
     ranged = counted.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id())
-    schema = "field string, key_value string, measure string, value double, n long, pid int, n_values long, local_end long, local_total long"
+    schema = "field string, key_value string, measure string, value double, n long, pid int, n_values long, local_end long, local_total long, edge int"
     numbered = stage(ranged.mapInPandas(_number, schema), "numbered")
 
-    # prefix sums of the counts; only the first and last key of a partition can span, so at most 2 rows a partition
-    parts = numbered.groupBy(*ID, "pid").agg(F.sum("n_values").alias("part_n"))
+    # prefix sums over the first and last keys of the partitions, at most two rows of four numbers a partition
+    parts = numbered.where("edge > 0").groupBy(*ID, "pid", "edge").agg(F.sum("n_values").alias("part_n"))
     w = Window.partitionBy(*ID)
-    spanning = (
-        parts.withColumn("n_parts", F.count(F.lit(1)).over(w))
-        .where("n_parts > 1")
-        .withColumn("offset", F.sum("part_n").over(w.orderBy("pid")) - F.col("part_n"))
-        .withColumn("total", F.sum("part_n").over(w))
-        .select(*ID, "pid", "offset", "total")
-    )
-    side = F.broadcast(spanning) if n_parts <= MOST_PARTS else spanning
+    spanning = parts.select(F.col("pid"), "edge", (F.sum("part_n").over(w.orderBy("pid")) - F.col("part_n")).alias("offset"), F.sum("part_n").over(w).alias("total"))
     start = F.coalesce("offset", F.lit(0)) + F.col("local_end") - F.col("n_values")
     ranked = (
-        numbered.join(side, [*ID, "pid"], "left")
+        numbered.join(F.broadcast(spanning), ["pid", "edge"], "left")
         .withColumn("rank", start)
         .withColumn("total", F.coalesce("total", "local_total"))
         .withColumn("chunk", F.floor(F.col("rank") / chunk_rows))

@@ -75,3 +75,22 @@ def test_salted_join_is_the_plain_join(spark):
         assert sorted(got.collect(), key=str) == sorted(rows.join(side, "k", how).drop("m").collect(), key=str)
     assert salted_join(rows.limit(0), side, ["k"]).count() == 0
     assert salted_join(rows, side.limit(0), ["k"], "left", least=500).count() == 3000
+
+
+def test_numbering_streams_over_batches():
+    import pandas as pd
+
+    from querymill.operators.skew import _number
+
+    rnd = random.Random(5)
+    for _ in range(60):
+        rows = [("f", f"k{k}", "m", rnd.choice([float("nan"), float(i)]), rnd.randrange(1, 4), 3) for k in range(rnd.randrange(1, 6)) for i in range(rnd.randrange(1, 7))]
+        df = pd.DataFrame(rows, columns=["field", "key_value", "measure", "value", "n", "pid"])
+        cuts = sorted(rnd.randrange(len(rows) + 1) for _ in range(3))
+        got = pd.concat(list(_number(iter([df.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]))), ignore_index=True)
+        own = df["n"].where(df["value"].notna(), 0)
+        by = own.groupby(df["key_value"], sort=False)
+        assert got["key_value"].tolist() == df["key_value"].tolist() and got["n"].tolist() == df["n"].tolist()
+        assert got["local_end"].tolist() == by.cumsum().tolist() and got["local_total"].tolist() == by.transform("sum").tolist()
+        keys = df["key_value"].tolist()
+        assert got["edge"].tolist() == [1 if k == keys[0] else 2 if k == keys[-1] else 0 for k in keys]
