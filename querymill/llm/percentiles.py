@@ -3,8 +3,10 @@
 Each partition holds its values sorted by group. In a round every partition proposes the median of what is left of a
 target's range; the median of the proposals, weighted by how many values stand behind each, becomes the pivot; values
 below, at and above it are counted, and the part that can't hold the wanted rank is discarded. Counting for one pivot
-and proposing the next for either side happen in the same pass. What is kept between calls is the staged table of
-values by base group, so that any set of base groups (days, partitions) can be put together afterwards.
+and proposing the next for either side happen in the same pass. As soon as a quarter of the values is left, the values
+of open ranges are written to a smaller table, which the next rounds read; so all rounds together read little more than
+the first ones. What is kept between calls is the staged table of values by base group, so that any set of base groups
+(days, partitions) can be put together afterwards.
 
 Rank error: none. With ``rank_error`` e > 0 a target ends as soon as at most e * n values are left, and any of them is
 within e * n ranks of the wanted one.
@@ -24,6 +26,22 @@ from querymill.sources.tables import stage
 
 #: This few values left of a target are fetched and sorted.
 GATHER = 64
+#: Values are written anew when at most this share of those read last round is left, unless there are few anyway.
+LEFT, FEW = 0.25, 100_000
+
+
+def _by_group(asked: list[tuple[int, float, float, float, bool]], members: list[list[tuple]]) -> dict[tuple, list[tuple[int, float, float, float, bool]]]:
+    out: dict[tuple, list[tuple[int, float, float, float, bool]]] = {}
+    for a in asked:
+        for m in members[a[0]]:
+            out.setdefault(m, []).append(a)
+    return out
+
+
+def _parts(pdf: pd.DataFrame, groups: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(base group, its positions) of a batch."""
+    for key, at in pdf.groupby(groups, dropna=False, sort=False).indices.items():
+        yield tuple(None if x is None or x != x else x for x in (key if isinstance(key, tuple) else (key,))), at
 
 
 class ValueStore:
@@ -62,9 +80,13 @@ class ValueStore:
         lo, hi, pivot = [-math.inf] * n, [math.inf] * n, [math.inf] * n
         left, k, out = list(sizes), list(ranks), [math.nan] * n
         first, active = True, set(range(n))
+        rows, size = self.staged, sum(self.sizes.values())
         while active:
             asked = [(i, lo[i], hi[i], pivot[i], left[i] <= GATHER) for i in sorted(active)]
-            for r in self._round(asked, members).collect():
+            open_ = sum(left[i] for i in active)
+            if size > FEW and open_ <= LEFT * size:
+                rows, size = stage(self._open(rows, asked, members), "values"), open_
+            for r in self._round(rows, asked, members).collect():
                 i = r["target"]
                 if r["rest"]:
                     out[i] = sorted(r["rest"])[k[i]]
@@ -83,21 +105,33 @@ class ValueStore:
             first = False
         return out
 
-    def _round(self, asked: list[tuple[int, float, float, float, bool]], members: list[list[tuple]]) -> DataFrame:
+    def _open(self, rows: DataFrame, asked: list[tuple[int, float, float, float, bool]], members: list[list[tuple]]) -> DataFrame:
+        """The values inside the range of some open target."""
+        groups = self.groups
+        by_group = _by_group(asked, members)
+
+        def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                v, inside = pdf["value"].to_numpy(), np.zeros(len(pdf), bool)
+                for name, at in _parts(pdf, groups):
+                    for _, lo, hi, _, _ in by_group.get(name, ()):
+                        inside[at] |= ((v[at] > lo) | (lo == -math.inf)) & ((v[at] < hi) | (hi == math.inf))
+                yield pdf[inside]
+
+        return rows.mapInPandas(keep, rows.schema)
+
+    def _round(self, rows: DataFrame, asked: list[tuple[int, float, float, float, bool]], members: list[list[tuple]]) -> DataFrame:
         groups = self.groups
-        by_group: dict[tuple, list[tuple[int, float, float, float, bool]]] = {}
-        for a in asked:
-            for m in members[a[0]]:
-                by_group.setdefault(m, []).append(a)
+        by_group = _by_group(asked, members)
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             # only the numbers of asked groups are kept, eight bytes a value
             held: dict[tuple, list[np.ndarray]] = {}
             for pdf in batches:
-                for key, own in pdf.groupby(groups, dropna=False, sort=False)["value"]:
-                    name = tuple(None if x is None or x != x else x for x in (key if isinstance(key, tuple) else (key,)))
+                v = pdf["value"].to_numpy()
+                for name, at in _parts(pdf, groups):
                     if name in by_group:
-                        held.setdefault(name, []).append(own.to_numpy())
+                        held.setdefault(name, []).append(v[at])
             rows = []
             for name, own in held.items():
                 v = np.sort(np.concatenate(own), kind="stable")
@@ -115,7 +149,7 @@ class ValueStore:
                     rows.append((i, p - a, r - p, z - r, v[(a + p) // 2] if p > a else None, v[(r + z) // 2] if z > r else None, []))
             yield pd.DataFrame(rows, columns=["target", "below", "equal", "above", "mid_below", "mid_above", "rest"])
 
-        seen = self.staged.mapInPandas(count, "target int, below long, equal long, above long, mid_below double, mid_above double, rest array<double>")
+        seen = rows.mapInPandas(count, "target int, below long, equal long, above long, mid_below double, mid_above double, rest array<double>")
         return seen.groupBy("target").agg(
             F.sum("below").alias("below"),
             F.sum("equal").alias("equal"),

@@ -11,7 +11,9 @@ from querymill.llm.percentiles import ValueStore, delivered_once
 SHARES = [0.0, 0.5, 0.9, 0.95, 0.99, 1.0]
 
 
-def test_groups_unions_ties_and_hot_group(spark):
+@pytest.mark.parametrize("few", [100_000, 100])
+def test_groups_unions_ties_and_hot_group(spark, few, monkeypatch):
+    monkeypatch.setattr("querymill.llm.percentiles.FEW", few)  # also with values written anew
     rnd = random.Random(8)
     rows = [("hot" if rnd.random() < 0.6 else rnd.choice(["b", None]), f"d{rnd.randrange(3)}", rnd.choice([None, float("nan"), 1.0, 1.0, rnd.gauss(0, 1), rnd.random() * 1e9]), 1) for _ in range(4000)]
     rows += [("one", "d0", 5.0, 1), ("same", "d0", 2.0, 1), ("same", "d0", 2.0, 1), ("none", "d0", None, 1), ("one", "d0", float("inf"), 1)]
