@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querymill.functions.text import ngrams, parted_numbers, simple_key, split_tokens
+from querymill.operators.skew import salted_join
+from querymill.sources.tables import stage
 
 # Colour words.
 COLORS = (
@@ -65,7 +67,7 @@ def extract(queries: DataFrame, dictionary: DataFrame, colors: list[str] | None
     facts = all_.select(
         "query", F.col("b.canonical").alias("brand"), F.col("b.phrase").alias("brand_text"), F.col("m_category.phrase").alias("category"), F.coalesce(F.col("m_model.phrase"), tail).alias("model"), F.array_sort(F.array_distinct(hues)).alias("colors")
     )
-    return queries.join(facts, "query").select("id", *[c for c in facts.columns if c != "query"])
+    return salted_join(queries.select("id", "query"), facts, ["query"]).select("id", *[c for c in facts.columns if c != "query"])
 
 
 def _inside(name: Column, phrase: Column) -> Column:
@@ -77,39 +79,93 @@ NATIVE = {"brand": 3.0, "other": -1.2, "category": 2.4, "model": 2.8, "attribute
 SIMPLE = {"brand": 3.0, "other": 0.0, "category": 2.0, "model": 1.5, "attribute": 1.0, "cosine": 1.0, "any_token": True}
 
 
+#: Stands for a run of tokens that no fact asks for.
+OTHER = "·"
+
+
+def _signatures(items: DataFrame, asked: DataFrame, top: int) -> DataFrame:
+    """``sid, t, n, b, first, skus``: the items (sku_id, t, b) that look the same to all facts asked (all, brand_text), and the ``top`` smallest sku_ids of each kind.
+
+    All that a score can see of an item are its asked tokens in their order, the number of its tokens, and whether its
+    brand is an asked one. So there are as many kinds as the facts can tell apart, however many items there are.
+    """
+    vocabulary = asked.select(F.explode("all").alias("token")).distinct().withColumn("known", F.lit(True))
+    brands = asked.select(F.col("brand_text").alias("b")).where("b IS NOT NULL").distinct().withColumn("kept", F.lit(True))
+    each = salted_join(items.select("sku_id", F.posexplode("t").alias("pos", "token")), vocabulary, ["token"], "left")
+    masked = each.groupBy("sku_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("known"), F.col("token")).otherwise(OTHER).alias("w")))).alias("l"))
+    words = F.col("l.w")
+    run = F.filter(words, lambda w, i: (w != OTHER) | (i == 0) | (F.get(words, i - 1) != OTHER))
+    named = items.select("sku_id", "b").join(masked.select("sku_id", run.alias("t"), F.size("l").alias("n")), "sku_id", "left")
+    named = salted_join(named, brands, ["b"], "left").select("sku_id", F.coalesce("t", F.array().cast("array<string>")).alias("t"), F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("kept"), F.col("b")).otherwise("").alias("b"))
+    # the limit is applied before the shuffle too, so a kind that most items are of is no burden
+    w = Window.partitionBy("t", "n", "b").orderBy("sku_id")
+    first = named.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top)
+    kinds = first.groupBy("t", "n", "b").agg(F.array_sort(F.collect_list("sku_id")).alias("skus"))
+    return kinds.select(F.sha2(F.to_json(F.struct("t", "n", "b")), 256).alias("sid"), "t", "n", "b", F.get("skus", F.lit(0)).alias("first"), "skus")
+
+
+def _probes(asked: DataFrame, index: DataFrame, least: float, w: dict) -> DataFrame:
+    """``fid, token``: tokens of which an item must hold one to score more than ``least``.
+
+    Without a penalty to make up for these are all tokens of a fact. With a brand that an item lacks, the penalty is
+    made up for only by a whole phrase, which can't be there without its rarest token, or by a cosine c of at least
+    (least - penalty) / weight; then more than c * c of the fact's tokens are there, so one of the rarest few is.
+    """
+    none = F.array().cast("array<string>")
+    words = lambda c: F.coalesce(F.split(c, " "), none)
+    c = (least - w["other"]) / w["cosine"]
+    strict = F.col("brand_text").isNotNull() & (F.size("own") == F.size(F.array_distinct("own"))) if c > 0.5 and not w["any_token"] else F.lit(False)
+    every = asked.where(~strict).select("fid", F.explode("all").alias("token"))
+    phrases_ = F.concat(F.array(words("brand_text"), words("category"), words("model")), F.transform(F.coalesce("colors", none), words))
+    some = asked.where(strict).select("fid", F.size("own").alias("size"), F.posexplode(F.concat(phrases_, F.array(F.col("own")))).alias("nth", "t"), F.size(phrases_).alias("last"))
+    df = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    each = some.select("fid", "size", "nth", "last", F.explode("t").alias("token")).join(df, "token", "left")
+    rare = each.groupBy("fid", "nth", "size", "last").agg(F.array_sort(F.collect_set(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("l"))
+    missing = F.ceil(F.col("size") * (1 - c * c)).cast("int")
+    few = rare.select("fid", F.explode(F.slice("l", 1, F.when(F.col("nth") == F.col("last"), F.greatest(F.lit(1), missing)).otherwise(1))).alias("x"))
+    return every.unionByName(few.select("fid", "x.token")).distinct()
+
+
 def rank(facts: DataFrame, catalog: DataFrame, top: int = 30, least: float = 0.15, weights: dict | None = None) -> DataFrame:
     """``id, sku_id, score, match, why, rn``: the best items of a catalog (sku_id, name, brand) for facts of queries.
 
     The weights of brand, category, model and attributes found, and of the cosine of the fact tokens with the name's
     are added up; scores of ``least`` and below are dropped; ties by sku_id; ``match`` is the share of the
-    best score. A phrase counts where it stands in the name as whole tokens. Only items that share a token with the
-    facts are scored, since no other can exceed ``least``; equal facts are ranked once.
+    best score. A phrase counts where it stands in the name as whole tokens; attributes are the phrases of ``colors``, of any kind.
+    Exact without a pair for each item: equal facts are ranked once, against the kinds of items that facts can tell
+    apart; only kinds that hold one of a fact's rarest tokens are scored, chosen so that no other can exceed ``least``; of a kind
+    the first ``top`` items are enough, and so are the first ``top`` kinds of a fact. Null sku_ids and empty names have no rank.
     """
+    w = weights or NATIVE
     key = ["brand_text", "category", "model", "colors"]
     fid = F.sha2(F.to_json(F.struct(*key)), 256)
-    distinct = facts.select(*key).distinct().withColumn("fid", fid)
-    hues = F.coalesce("colors", F.array().cast("array<string>"))
-    own = F.concat(F.coalesce(F.split("category", " "), F.array().cast("array<string>")), F.coalesce(F.split("model", " "), F.array().cast("array<string>")), hues)
-    asked = distinct.withColumn("own", own).withColumn("all", F.array_distinct(F.concat("own", F.coalesce(F.split("brand_text", " "), F.array().cast("array<string>")))))
-    items = catalog.select("sku_id", query_tokens(F.coalesce("name", F.lit(""))).alias("t"), F.array_join(query_tokens(F.coalesce("brand", F.lit(""))), " ").alias("b"))
-    index = items.select("sku_id", F.explode(F.array_distinct(F.concat("t", F.split("b", " ")))).alias("token"))
-    pairs = asked.select("fid", F.explode("all").alias("token")).join(index, "token").select("fid", "sku_id").distinct()
-    scored = pairs.join(asked, "fid").join(items, "sku_id")
+    distinct = stage(facts.select(*key).distinct().withColumn("fid", fid), "facts")
+    none = F.array().cast("array<string>")
+    hues = F.coalesce("colors", none)
+    own = F.concat(F.coalesce(F.split("category", " "), none), F.coalesce(F.split("model", " "), none), F.flatten(F.transform(hues, lambda h: F.split(h, " "))))
+    asked = distinct.withColumn("own", own).withColumn("all", F.array_distinct(F.concat("own", F.coalesce(F.split("brand_text", " "), none))))
+    items = catalog.where("sku_id IS NOT NULL").select("sku_id", query_tokens(F.coalesce("name", F.lit(""))).alias("t"), F.array_join(query_tokens(F.coalesce("brand", F.lit(""))), " ").alias("b"))
+    kinds = stage(_signatures(items, asked, top), "kinds")
+    index = kinds.select("sid", F.explode(F.filter(F.array_distinct(F.concat("t", F.split("b", " "))), lambda w: ~w.isin("", OTHER))).alias("token"))
+    pairs = _probes(asked, index, least, w).join(index, "token").select("fid", "sid").distinct()
+    scored = pairs.join(asked, "fid").join(kinds.drop("skus"), "sid")
     name = F.array_join("t", " ")
     has_brand = F.col("brand_text").isNotNull()
     brand_hit = has_brand & ((F.col("b") == F.col("brand_text")) | _inside(name, F.col("brand_text")))
-    w = weights or NATIVE
     cat, mod = _inside(name, F.col("category")), _inside(name, F.col("model"))
     if w["any_token"]:
         cat = F.coalesce(F.arrays_overlap("t", F.split("category", " ")), F.lit(False))
-    attrs = F.size(F.filter(hues, lambda h: F.array_contains(F.col("t"), h)))
+    attrs = F.size(F.filter(hues, lambda h: _inside(name, h)))
     common = F.size(F.filter("own", lambda x: F.array_contains(F.col("t"), x)))
-    cosine = F.when((F.size("own") > 0) & (F.size("t") > 0), common / (F.sqrt(F.size("own")) * F.sqrt(F.size("t")))).otherwise(0.0)
+    cosine = F.when((F.size("own") > 0) & (F.col("n") > 0), common / (F.sqrt(F.size("own")) * F.sqrt("n"))).otherwise(0.0)
     found = F.when(brand_hit, w["brand"]).when(has_brand, w["other"]).otherwise(0.0) + F.when(cat, w["category"]).otherwise(0.0) + F.when(mod, w["model"]).otherwise(0.0)
     score = found + w["attribute"] * attrs + w["cosine"] * cosine
     why = F.concat_ws("+", F.when(brand_hit, "brand"), F.when(cat, "category"), F.when(mod, "model"), F.when(attrs > 0, "attributes"))
-    kept = scored.select("fid", "sku_id", F.round(score, 6).alias("score"), why.alias("why")).where(F.col("score") > least)
-    order = Window.partitionBy("fid").orderBy(F.desc("score"), "sku_id")
-    best = kept.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= top)
-    best = best.withColumn("match", F.round(F.col("score") / F.max("score").over(Window.partitionBy("fid")), 6))
-    return facts.withColumn("fid", fid).select("id", "fid").join(best, "fid").select("id", "sku_id", "score", "match", "why", F.col("rn").cast("long").alias("rn"))
+    # rounded before the order, as ties are told by the rounded score
+    kept = scored.select("fid", "sid", "first", F.round(score, 6).alias("score"), why.alias("why")).where(F.col("score") > least)
+    number = lambda c: F.row_number().over(Window.partitionBy("fid").orderBy(F.desc("score"), c))
+    best = kept.withColumn("rn", number("first")).where(F.col("rn") <= top).drop("rn", "first")
+    each = best.join(kinds.select("sid", "skus"), "sid").select("fid", "score", "why", F.explode("skus").alias("sku_id"))
+    each = each.withColumn("rn", number("sku_id")).where(F.col("rn") <= top)
+    each = each.withColumn("match", F.round(F.col("score") / F.max("score").over(Window.partitionBy("fid")), 6))
+    return salted_join(facts.withColumn("fid", fid).select("id", "fid"), each, ["fid"]).select("id", "sku_id", "score", "match", "why", F.col("rn").cast("long").alias("rn"))
