@@ -35,12 +35,42 @@ def test_leaks(spark):
     d = spark.createDataFrame([(i, t, 0, "x") for i, t in docs], "doc_id long, text string, eval_id int, edits string")
     e = spark.createDataFrame([(1, item), (2, item), (3, None), (4, ""), (5, "два слова")], "eval_id long, text string")
     got = {(r.doc_id, r.eval_id): (r.edits, r.run_words) for r in leaks(d, e, block_words=50).collect()}
-    exact = {k for k, (_, n) in got.items() if n >= 10}
+    exact = {k for k, (e, n) in got.items() if e == 0 and k[1] != 5}
+    assert exact == {k for k, (_, n) in got.items() if n >= 10}
     assert exact == {(i, x) for i in (1, 3, 6, 9) for x in (1, 2)}
     assert (8, 1) in got and got[8, 1][0] == 1 and (7, 1) not in got and (10, 1) not in got
     assert leaks(d.limit(0), e).count() == 0 and leaks(d, e.limit(0)).count() == 0
 
 
+def test_leaks_with_edits(spark):
+    """Planted passages of ten words with no, one and two character edits anywhere; two are out of reach with one allowed."""
+    rnd = random.Random(11)
+    words = [["".join(rnd.choice("абвгдежзик") for _ in range(rnd.randrange(4, 9))) for _ in range(60)] for _ in range(20)]
+    noise = lambda n: ["".join(rnd.choice("лмнопрст") for _ in range(6)) for _ in range(n)]
+
+    def damaged(text: str, n: int) -> str:
+        for at in rnd.sample(range(1, len(text) - 1), n):
+            kind = rnd.randrange(3)
+            text = text[:at] + ("ф" if kind == 0 else "ф" + text[at] if kind == 1 else "") + text[at + 1 :] if text[at] != " " else text[:at] + "ф" + text[at:]
+        return text
+
+    docs, want = [], {0: set(), 1: set(), 2: set()}
+    for i in range(300):
+        k, a = rnd.randrange(20), rnd.randrange(50)
+        edits = i % 3
+        docs.append((i, " ".join(noise(rnd.randrange(30))) + " " + damaged(" ".join(words[k][a : a + 10]), edits) + " " + " ".join(noise(9))))
+        want[edits].add((i, k))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    e = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(words)], "eval_id long, text string")
+    got = {(r.doc_id, r.eval_id): r.edits for r in leaks(d, e).collect()}
+    assert {k for k, v in got.items() if v == 0} >= want[0]
+    assert len({k for k in want[1] if k in got}) >= 0.9 * len(want[1])
+    # three pieces find two edits as well
+    more = {(r.doc_id, r.eval_id): r.edits for r in leaks(d, e, errors=2).collect()}
+    assert len({k for k in want[1] | want[2] if k in more}) >= 0.9 * len(want[1] | want[2])
+    assert {k for k, v in more.items() if v == 0} == {k for k, v in got.items() if v == 0}
+
+
 def test_read_words():
     assert read_words("Ча​й, cмартфон №5 ｏｋ!") == ["чай", "смартфон", "5", "ok"] or read_words("Ча​й") == ["чай"]
 
@@ -75,6 +105,21 @@ def test_fillings_are_undominated():
     assert all(sum(f) + 2 > 6 for f in fillings(Counter({5: 1, 3: 2, 2: 1}), 6, 9))
 
 
+def test_search_budget_and_greedy():
+    from collections import Counter
+
+    from querymill.llm.packing import greedy
+
+    assert greedy(Counter({5: 1, 3: 2, 2: 1, 0: 4}), 9) == (5, 3) and greedy(Counter(), 9) == ()
+    assert fillings(Counter({5: 1, 3: 2, 2: 1}), 9, 6, [0]) == [(5, 3)]
+    rnd = random.Random(7)
+    sizes = [rnd.randrange(1, 1200) for _ in range(1500)]
+    for steps in (0, 1000, 100_000):
+        bins = complete(sizes, 2048, steps=steps)
+        assert sorted(i for b in bins for i in b) == list(range(1500)) and all(sum(sizes[i] for i in b) <= 2048 for b in bins)
+        assert len(bins) <= len(best_fit(sizes, 2048))
+
+
 def test_pack(spark):
     rnd = random.Random(3)
     rows = [(i, rnd.choice([0, 1, 700, 1024, 2048, 5000, rnd.randrange(1, 2048)]), 1, "x") for i in range(400)] + [(900, None, 1, "x"), (901, 4096, 1, "x"), (901, 4096, 1, "x")]
