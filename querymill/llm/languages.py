@@ -23,7 +23,7 @@ ORDER = 6
 #: Bits that a change of language costs at the end of a sentence, and inside one.
 SWITCH_END, SWITCH_INSIDE = 16.0, 40.0
 
-_CODE = re.compile(r"\S*\d\S*")
+_DIGIT = re.compile(r"\d")
 _TAG = re.compile(r"</?\w+/?>")
 _CLOSED = re.compile(r"(</\w+>|<br/?>)$")
 _ITEM = re.compile(r"\d+[.)]")
@@ -41,7 +41,7 @@ def prepared(text: str) -> bytes:
     low = text.lower()
     if "<" in low:
         low = _TAG.sub("|", low)
-    return " ".join(_CODE.sub("0", low).split()).encode("utf-8", "replace")
+    return " ".join([w if w.isalpha() or not _DIGIT.search(w) else "0" for w in low.split()]).encode("utf-8", "replace")
 
 
 def _keys(data: np.ndarray, order: int) -> np.ndarray:
@@ -92,9 +92,16 @@ class ContextTrees:
 
     def code_lengths(self, data: np.ndarray) -> np.ndarray:
         """Bits of every byte under every language; ``data`` starts with ORDER bytes of padding."""
-        out = np.zeros((len(data) - ORDER, self.n), np.float32)
+        # equal contexts are looked up once, and in order, which the tables' cache lines reward
+        codes, full = pd.factorize(_keys(data, ORDER))
+        order = np.argsort(full)
+        bits = np.empty((len(full), self.n), np.float32)
+        bits[order] = self._resolved(full[order])
+        return bits[codes]
+
+    def _resolved(self, full: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(full), self.n), np.float32)
         todo = np.arange(len(out))
-        full = _keys(data, ORDER)
         for k in range(ORDER, -1, -1):
             known, cost, contexts, escape = self.tables[k]
             keys = full[todo] & np.uint64((1 << 8 * (k + 1)) - 1)
@@ -163,30 +170,68 @@ def sentence_ends(text: str, words: list[str]) -> np.ndarray:
     return ends
 
 
+#: Words times documents of a group whose languages are assigned together.
+CELLS = 2_000_000
+
+
 def assign(costs: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The language of each word: cheapest total code length with costs for changes."""
-    n, m = costs.shape
-    total = costs.sum(0)
-    main = int(total.argmin())
-    gain = np.cumsum(np.vstack([np.zeros((1, m)), costs[:, [main]] - costs]), axis=0)
-    best = (gain - np.minimum.accumulate(gain, axis=0)).max(0)
-    if best.max() <= SWITCH_END:  # no stretch is worth even one change
-        return np.full(n, main)
-    back = np.zeros((n, m), np.int16)
-    score, own = costs[0].astype(np.float64), np.arange(m)
-    for t in range(1, n):
-        k = int(score.argmin())
-        other = score[k] + (SWITCH_END if ends[t - 1] else SWITCH_INSIDE)
-        stay = score <= other
-        back[t] = np.where(stay, own, k)
-        score = np.where(stay, score, other) + costs[t]
-    out = np.empty(n, np.int64)
-    out[-1] = int(score.argmin())
-    for t in range(n - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
+    return assign_all([(costs, ends)])[0]
+
+
+def assign_all(texts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """The languages of the words of many texts (costs, ends), none of them empty; each is as if alone.
+
+    Texts in which no stretch is worth even one change take one pass. The rest go through the dynamic programme together,
+    one step for the same word of all texts of a group, the longest first.
+    """
+    out: list[np.ndarray] = []
+    todo = []
+    for i, (costs, _) in enumerate(texts):
+        n, m = costs.shape
+        main = int(costs.sum(0).argmin())
+        gain = np.cumsum(np.vstack([np.zeros((1, m)), costs[:, [main]] - costs]), axis=0)
+        out.append(np.full(n, main))
+        if (gain - np.minimum.accumulate(gain, axis=0)).max() > SWITCH_END:
+            todo.append(i)
+    todo.sort(key=lambda i: -len(texts[i][0]))
+    while todo:
+        longest = len(texts[todo[0]][0])
+        group, todo = todo[: max(1, CELLS // longest)], todo[max(1, CELLS // longest) :]
+        for i, path in zip(group, _cheapest([texts[i] for i in group]), strict=True):
+            out[i] = path
     return out
 
 
+def _cheapest(texts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """The cheapest paths of texts in falling order of length."""
+    sizes = np.array([len(c) for c, _ in texts])
+    length, b, m = int(sizes[0]), len(texts), texts[0][0].shape[1]
+    costs, change = np.zeros((length, b, m), np.float32), np.zeros((length, b))
+    for i, (c, e) in enumerate(texts):
+        costs[: len(c), i] = c
+        change[: len(c), i] = np.where(e, SWITCH_END, SWITCH_INSIDE)
+    back = np.zeros((length, b, m), np.int8)
+    going = np.searchsorted(-sizes, -np.arange(length), "left")  # texts of more than t words
+    score, own, row = costs[0].astype(np.float64), np.arange(m, dtype=np.int8), np.arange(b)
+    for t in range(1, length):
+        g = going[t]
+        s = score[:g]
+        k = s.argmin(1)
+        other = (s[row[:g], k] + change[t - 1, :g])[:, None]
+        stay = s <= other
+        back[t, :g] = np.where(stay, own, k[:, None])
+        score[:g] = np.where(stay, s, other) + costs[t, :g]
+    path = np.empty((length, b), np.int8)
+    now = score.argmin(1)
+    path[sizes - 1, row] = now
+    for t in range(length - 1, 0, -1):
+        g = going[t]
+        now[:g] = back[t, row[:g], now[:g]]
+        path[t - 1, :g] = now[:g]
+    return [path[:n, i].astype(np.int64) for i, n in enumerate(sizes.tolist())]
+
+
 def training_sample(docs: DataFrame, languages: list[str], per_language: int, max_chars: int) -> list[list[str]]:
     """At most ``per_language`` texts of at most ``max_chars`` characters of each label, chosen by a hash of the id."""
     label = F.lower(F.substring("lang", 1, 2))
@@ -214,8 +259,9 @@ def train(docs: DataFrame, languages: list[str] | None = None, per_language: int
         kept = []
         for i, texts in enumerate(sample):
             own = []
-            for k, costs in word_costs(trees, texts):
-                if len(costs) and (mine := assign(costs, np.ones(len(costs), bool)) == i).mean() > 0.5:
+            told = [(k, costs) for k, costs in word_costs(trees, texts) if len(costs)]
+            for (k, _), path in zip(told, assign_all([(costs, np.ones(len(costs), bool)) for _, costs in told]), strict=True):
+                if (mine := path == i).mean() > 0.5:
                     own.append(b" ".join(w for w, m in zip(prepared(texts[k]).split(b" "), mine, strict=True) if m))
             kept.append(own or [prepared(t) for t in texts])
         trees = ContextTrees(kept)
@@ -235,26 +281,36 @@ def segments(docs: DataFrame, trees: ContextTrees, languages: list[str] | None =
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for pdf in batches:
-            rows = []
-            texts = pdf["text"].tolist()
-            ids = pdf["doc_id"].tolist()
+            texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
+            held: list[tuple[int, list[str], np.ndarray, np.ndarray]] = []
+            size = 0
             for i, costs in word_costs(model, texts):
                 words = texts[i].split()
-                if not words:
-                    continue
-                ends = sentence_ends(texts[i], words)
-                langs = assign(costs, ends)
-                edges = [0, *(np.flatnonzero(np.diff(langs)) + 1).tolist(), len(words)]
-                for a, b in zip(edges, edges[1:], strict=False):
-                    sums = costs[a:b].sum(0)
-                    size = sum(len(w.encode()) + 1 for w in words[a:b])
-                    rel = 2.0 ** (-(sums - sums.min()) * min(1.0, 20.0 / size))
-                    rows.append((ids[i], a, b - a, sum(map(len, words[a:b])) + b - a - 1, count_sentences(words[a:b], ends[a:b], languages[langs[a]]), languages[langs[a]], float(rel[langs[a]] / rel.sum())))
-            yield pd.DataFrame(rows, columns=["doc_id", "start_word", "n_words", "n_chars", "n_sentences", "lang", "confidence"])
+                if words:
+                    held.append((ids[i], words, costs, sentence_ends(texts[i], words)))
+                    size += len(words)
+                if size >= CELLS // 4:
+                    yield stretches(held, languages)
+                    held, size = [], 0
+            yield stretches(held, languages)
 
     return docs.select("doc_id", "text").where("text <> ''").mapInPandas(cut, "doc_id long, start_word int, n_words int, n_chars int, n_sentences int, lang string, confidence double")
 
 
+def stretches(texts: list[tuple[int, list[str], np.ndarray, np.ndarray]], languages: list[str]) -> pd.DataFrame:
+    """The segments of texts (id, words, costs, sentence ends)."""
+    rows = []
+    paths = assign_all([(costs, ends) for _, _, costs, ends in texts])
+    for (doc, words, costs, ends), langs in zip(texts, paths, strict=True):
+        edges = [0, *(np.flatnonzero(np.diff(langs)) + 1).tolist(), len(words)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            sums = costs[a:b].sum(0)
+            size = len(" ".join(words[a:b]).encode()) + 1
+            rel = 2.0 ** (-(sums - sums.min()) * min(1.0, 20.0 / size))
+            rows.append((doc, a, b - a, sum(map(len, words[a:b])) + b - a - 1, count_sentences(words[a:b], ends[a:b], languages[langs[a]]), languages[langs[a]], float(rel[langs[a]] / rel.sum())))
+    return pd.DataFrame(rows, columns=["doc_id", "start_word", "n_words", "n_chars", "n_sentences", "lang", "confidence"])
+
+
 def count_sentences(words: list[str], ends: np.ndarray, lang: str) -> int:
     """Sentences of a stretch: by end marks, by capitals where those are missing, and by length where both are."""
     n, since = 0, 0
