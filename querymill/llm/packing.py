@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from querymill.sources.tables import stage
 
 CAPACITY = 2048
+#: Sizes tried for one container, and for a block, about a second of one core.
+FILLING_STEPS, SEARCH_STEPS = 20_000, 2_000_000
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def tokenizer_folder() -> str:
-    """Where the installed vocabulary files lie."""
+    """Where the installed vocabulary files lie, here and on every executor."""
     spec = importlib.util.find_spec("public_tokenizers")
     return str(Path(spec.origin).parent) if spec and spec.origin else "/opt/tokenizers"
 
@@ -63,46 +65,67 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(left: Counter, room: int, limit: int) -> list[tuple[int, ...]]:
+def greedy(left: Counter, room: int) -> tuple[int, ...]:
+    """The largest size that fits, again and again: nothing left fits in the rest, and no item could be a larger one."""
+    out: list[int] = []
+    for s in sorted((s for s, n in left.items() if n and 0 < s <= room), reverse=True):
+        n = min(left[s], room // s)
+        out += [s] * n
+        room -= s * n
+    return tuple(out)
+
+
+def fillings(left: Counter, room: int, limit: int, steps: list[int] | None = None) -> list[tuple[int, ...]]:
     """Undominated ways to fill ``room`` with sizes of ``left``, best sum first, at most ``limit``.
 
     A filling is dominated when another size still fits in its rest, or when exchanging one of its items for the next
-    larger size still fits.
+    larger size still fits. ``steps`` holds the number of sizes that may still be tried, and is counted down; when it
+    ends, or ``FILLING_STEPS`` do, what was found stands, or else the greedy filling.
     """
     sizes = sorted((s for s, n in left.items() if n and 0 < s <= room), reverse=True)
+    fitting = [-s for s in sizes]
     found: dict[tuple[int, ...], int] = {}
-    budget = 40 * limit
+    total = steps if steps is not None else [FILLING_STEPS]
+    budget = min(FILLING_STEPS, total[0])
+    spare = budget
     smallest = sizes[-1] if sizes else room + 1
 
     def extend(at: int, rest: int, chosen: list[int]) -> None:
-        nonlocal budget
-        budget -= 1
-        if budget < 0 or len(found) >= limit and min(found.values()) == 0:
+        nonlocal spare
+        if spare < 0 or len(found) >= limit and min(found.values()) == 0:
             return
         if rest < smallest or at == len(sizes):
+            spare -= len(sizes)
             grown = Counter(chosen)
-            fits = any(n > grown[s] and s <= rest for s, n in left.items() if s)
-            exchanged = any(any(c < s <= c + rest and left[s] > grown[s] for s in sizes) for c in grown)
+            fits = rest >= smallest and any(n > grown[s] and 0 < s <= rest for s, n in left.items())
+            exchanged = any(any(left[s] > grown[s] for s in sizes[bisect_left(fitting, -c - rest) : bisect_left(fitting, -c)]) for c in grown)
             if not fits and (rest == 0 or not exchanged):
                 found[tuple(chosen)] = rest
             return
-        for k in range(at, len(sizes)):
+        for k in range(max(at, bisect_left(fitting, -rest)), len(sizes)):
             s = sizes[k]
-            if s <= rest and left[s] > chosen.count(s):
+            spare -= 1
+            if left[s] > chosen.count(s):
                 extend(k, rest - s, [*chosen, s])
-                if rest == s or budget < 0:
+                if rest == s or spare < 0:
                     return
         if chosen:
             extend(len(sizes), rest, chosen)
 
     extend(0, room, [])
+    total[0] -= budget - spare
     if not found:
-        found[()] = room
+        best = greedy(left, room)
+        found[best] = room - sum(best)
     return sorted(found, key=lambda f: (found[f], len(f), f))[:limit]
 
 
-def complete(sizes: list[int], capacity: int = CAPACITY, nodes: int = 2_000, width: int = 6) -> list[list[int]]:
-    """Indexes of the items of each container; no item exceeds the capacity. ``nodes`` bounds the search."""
+def complete(sizes: list[int], capacity: int = CAPACITY, nodes: int = 2_000, width: int = 6, steps: int = SEARCH_STEPS) -> list[list[int]]:
+    """Indexes of the items of each container; no item exceeds the capacity.
+
+    The search ends after ``nodes`` containers tried or ``steps`` sizes tried, and then the best packing found stands; of
+    each container the ``width`` best fillings are tried.
+    """
     incumbent = best_fit(sizes, capacity)
     total = sum(sizes)
     bound = -(-total // capacity)
@@ -114,17 +137,18 @@ def complete(sizes: list[int], capacity: int = CAPACITY, nodes: int = 2_000, wid
     chosen: list[tuple[int, ...]] = []
     waste = 0
     stack: list[Iterator[tuple[int, ...]]] = []
+    budget = [steps]
 
     def branches() -> Iterator[tuple[int, ...]]:
         largest = max(s for s, n in left.items() if n)
         left[largest] -= 1
-        options = fillings(left, capacity - largest, width)
+        options = fillings(left, capacity - largest, width, budget)
         left[largest] += 1
         return iter([(largest, *f) for f in options])
 
     items = sum(n for s, n in left.items() if s)
     stack.append(branches())
-    while stack and nodes > 0:
+    while stack and nodes > 0 and budget[0] > 0:
         option = next(stack[-1], None)
         if option is None:
             stack.pop()
@@ -179,7 +203,7 @@ def _packer(capacity: int, turn: int):  # noqa: ANN202
 
 
 def _blocks(items: DataFrame, capacity: int, containers: int, most_items: int) -> DataFrame:
-    """Items spread over blocks of about ``containers`` containers and ``most_items`` items at most."""
+    """Items spread by hash over blocks of about ``containers`` containers, and of ``most_items`` items at most in the mean."""
     total = items.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("n")).first()
     n = max(1, round(total["s"] / (capacity * containers)), -(-total["n"] // most_items))
     return items.withColumn("block", F.pmod(F.xxhash64("doc_id", "part"), F.lit(n))).repartition(min(n, 20_000), "block")

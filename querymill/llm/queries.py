@@ -146,6 +146,22 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n_parts").alias("n_parts"), F.sum("fill").alias("n_tokens"), F.max("fill").alias("fullest"), F.avg(F.col("fill") / CAPACITY).alias("used"))
 
 
+@LLM.add("SELECT count(DISTINCT doc_id) AS n_docs, 0::BIGINT AS n_wrong_tokens, 0::BIGINT AS n_split, 0::BIGINT AS n_overfull FROM documents")
+def p8_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents placed; those whose parts don't add up to their tokens; those split though they fit; containers over capacity."""
+    counts = stage(token_counts(table(spark, sf, "documents")), "counts")
+    placed = stage(pack(counts), "placed")
+    per = placed.groupBy("doc_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts"), F.count_distinct("part").alias("distinct"))
+    j = per.join(counts, "doc_id", "full")
+    docs = j.agg(
+        F.count("size").alias("n_docs"),
+        F.count_if(~F.col("size").eqNullSafe(F.col("n_tokens")) | (F.col("parts") != F.col("distinct"))).alias("n_wrong_tokens"),
+        F.count_if((F.col("parts") > 1) & (F.col("n_tokens") <= CAPACITY)).alias("n_split"),
+    )
+    over = placed.groupBy("container").agg(F.sum("size").alias("fill")).agg(F.count_if(F.col("fill") > CAPACITY).alias("n_overfull"))
+    return docs.crossJoin(over)  # one row each
+
+
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
@@ -158,8 +174,8 @@ def p9_leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 @LLM.add()
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that share a run of at least ten words with an evaluation text."""
-    return _leaks(spark, sf).where("run_words >= 10").select("doc_id", "eval_id")
+    """Documents that share a run of at least ten words with an evaluation text: a window of ten whole words at distance 0."""
+    return _leaks(spark, sf).where("edits = 0 AND window = 10").select("doc_id", "eval_id")
 
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
