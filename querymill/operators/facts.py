@@ -70,10 +70,6 @@ def extract(queries: DataFrame, dictionary: DataFrame, colors: list[str] | None
     return salted_join(queries.select("id", "query"), facts, ["query"]).select("id", *[c for c in facts.columns if c != "query"])
 
 
-def _inside(name: Column, phrase: Column) -> Column:
-    return F.coalesce(F.concat(F.lit(" "), name, F.lit(" ")).contains(F.concat(F.lit(" "), phrase, F.lit(" "))), F.lit(False))
-
-
 #: Weights of the two rankers: brand, another brand, category, model, each attribute, cosine; whether any token of the category counts.
 NATIVE = {"brand": 3.0, "other": -1.2, "category": 2.4, "model": 2.8, "attribute": 1.2, "cosine": 1.5, "any_token": False}
 SIMPLE = {"brand": 3.0, "other": 0.0, "category": 2.0, "model": 1.5, "attribute": 1.0, "cosine": 1.0, "any_token": True}
@@ -139,25 +135,32 @@ def rank(facts: DataFrame, catalog: DataFrame, top: int = 30, least: float = 0.1
     w = weights or NATIVE
     key = ["brand_text", "category", "model", "colors"]
     fid = F.sha2(F.to_json(F.struct(*key)), 256)
-    distinct = stage(facts.select(*key).distinct().withColumn("fid", fid), "facts")
+    facts = stage(facts.select("id", *key, fid.alias("fid")), "facts")
+    distinct = facts.select("fid", *key).dropDuplicates(["fid"])
     none = F.array().cast("array<string>")
     hues = F.coalesce("colors", none)
     own = F.concat(F.coalesce(F.split("category", " "), none), F.coalesce(F.split("model", " "), none), F.flatten(F.transform(hues, lambda h: F.split(h, " "))))
-    asked = distinct.withColumn("own", own).withColumn("all", F.array_distinct(F.concat("own", F.coalesce(F.split("brand_text", " "), none))))
+    asked = stage(distinct.withColumn("own", own).withColumn("all", F.array_distinct(F.concat("own", F.coalesce(F.split("brand_text", " "), none)))), "asked")
     items = catalog.where("sku_id IS NOT NULL").select("sku_id", query_tokens(F.coalesce("name", F.lit(""))).alias("t"), F.array_join(query_tokens(F.coalesce("brand", F.lit(""))), " ").alias("b"))
     kinds = stage(_signatures(items, asked, top), "kinds")
     index = kinds.select("sid", F.explode(F.filter(F.array_distinct(F.concat("t", F.split("b", " "))), lambda w: ~w.isin("", OTHER))).alias("token"))
     pairs = _probes(asked, index, least, w).join(index, "token").select("fid", "sid").distinct()
-    scored = pairs.join(asked, "fid").join(kinds.drop("skus"), "sid")
-    name = F.array_join("t", " ")
+    # all that one side knows is worked out before the pairs, which are many
+    ends = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    left = asked.select("fid", "brand_text", ends(F.col("brand_text")).alias("in_brand"), ends(F.col("category")).alias("in_category"), F.split("category", " ").alias("c"), ends(F.col("model")).alias("in_model"), F.transform(hues, ends).alias("in_attrs"), "own", (F.size("own") > F.size(F.array_distinct("own"))).alias("repeats"), F.sqrt(F.size("own")).alias("own_norm"))
+    right = kinds.select("sid", "first", "t", "b", ends(F.array_join("t", " ")).alias("name"), F.sqrt("n").alias("norm"))
+    scored = pairs.join(left, "fid").join(right, "sid")
+    held = lambda c: F.coalesce(F.col("name").contains(F.col(c)), F.lit(False))
     has_brand = F.col("brand_text").isNotNull()
-    brand_hit = has_brand & ((F.col("b") == F.col("brand_text")) | _inside(name, F.col("brand_text")))
-    cat, mod = _inside(name, F.col("category")), _inside(name, F.col("model"))
+    brand_hit = has_brand & ((F.col("b") == F.col("brand_text")) | held("in_brand"))
+    cat, mod = held("in_category"), held("in_model")
     if w["any_token"]:
-        cat = F.coalesce(F.arrays_overlap("t", F.split("category", " ")), F.lit(False))
-    attrs = F.size(F.filter(hues, lambda h: _inside(name, h)))
-    common = F.size(F.filter("own", lambda x: F.array_contains(F.col("t"), x)))
-    cosine = F.when((F.size("own") > 0) & (F.col("n") > 0), common / (F.sqrt(F.size("own")) * F.sqrt("n"))).otherwise(0.0)
+        cat = F.coalesce(F.arrays_overlap("t", "c"), F.lit(False))
+    attrs = F.when(F.size("in_attrs") == 0, 0).otherwise(F.size(F.filter("in_attrs", lambda h: F.col("name").contains(h))))
+    common = F.when(F.col("repeats"), F.size(F.filter("own", lambda x: F.array_contains(F.col("t"), x)))).otherwise(F.size(F.array_intersect("own", "t")))
+    cosine = F.when((F.col("own_norm") > 0) & (F.col("norm") > 0), common / (F.col("own_norm") * F.col("norm"))).otherwise(0.0)
+    scored = scored.select("fid", "sid", "first", brand_hit.alias("brand_hit"), has_brand.alias("has_brand"), cat.alias("cat"), mod.alias("mod"), attrs.alias("attrs"), cosine.alias("cosine"))
+    brand_hit, has_brand, cat, mod, attrs, cosine = (F.col(c) for c in ("brand_hit", "has_brand", "cat", "mod", "attrs", "cosine"))
     found = F.when(brand_hit, w["brand"]).when(has_brand, w["other"]).otherwise(0.0) + F.when(cat, w["category"]).otherwise(0.0) + F.when(mod, w["model"]).otherwise(0.0)
     score = found + w["attribute"] * attrs + w["cosine"] * cosine
     why = F.concat_ws("+", F.when(brand_hit, "brand"), F.when(cat, "category"), F.when(mod, "model"), F.when(attrs > 0, "attributes"))
@@ -168,4 +171,4 @@ def rank(facts: DataFrame, catalog: DataFrame, top: int = 30, least: float = 0.1
     each = best.join(kinds.select("sid", "skus"), "sid").select("fid", "score", "why", F.explode("skus").alias("sku_id"))
     each = each.withColumn("rn", number("sku_id")).where(F.col("rn") <= top)
     each = each.withColumn("match", F.round(F.col("score") / F.max("score").over(Window.partitionBy("fid")), 6))
-    return salted_join(facts.withColumn("fid", fid).select("id", "fid"), each, ["fid"]).select("id", "sku_id", "score", "match", "why", F.col("rn").cast("long").alias("rn"))
+    return salted_join(facts.select("id", "fid"), each, ["fid"]).select("id", "sku_id", "score", "match", "why", F.col("rn").cast("long").alias("rn"))

@@ -147,10 +147,17 @@ def key_summaries(df: DataFrame, keys: list[str], measures: list[str], chunk_row
 
 #: Keys of more rows than this may be hot, and only this many of the most frequent are split; any other key has less than a share of 1 / MOST_HOT of the rows.
 HOT_ROWS, MOST_HOT, SALTS = 10_000, 1_000, 64
+#: Bytes of a table too small for a hot key to matter.
+SMALL = 16 << 20
 
 
 def hot_hashes(rows: DataFrame, key: list[str], least: int = HOT_ROWS) -> list[int]:
-    """64-bit hashes of the most frequent keys, at most ``MOST_HOT`` numbers; counts are combined before the shuffle."""
+    """64-bit hashes of the most frequent keys, at most ``MOST_HOT`` numbers; counts are combined before the shuffle.
+
+    Rows that the optimizer expects to be fewer bytes than one task reads anyway aren't counted.
+    """
+    if least == HOT_ROWS and int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL:
+        return []
     counts = rows.groupBy(F.xxhash64(*key).alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
     return [r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(MOST_HOT).collect()]
 

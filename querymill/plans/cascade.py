@@ -115,12 +115,12 @@ def corrupted_queries(spark, sf):
     return X.corrupted(queries(spark, sf))
 
 
-@CORE.add("SELECT item_id AS id, query AS joined FROM benchmark WHERE query <> ''")
+@CORE.add()
 def highlighted_queries(spark, sf):
-    """Queries cut at their entities, and put together again."""
+    """Queries cut at their entities into labelled pieces."""
     spans = F.transform("entities", lambda e: F.struct(e["label"].alias("label"), e["span"][0].alias("start"), e["span"][1].alias("end")))
-    h = table(spark, sf, "benchmark").where("query <> ''").select(F.col("item_id").alias("id"), X.highlighted(F.col("query"), F.coalesce(spans, F.array().cast(B.SPAN))).alias("h"))
-    return h.select("id", F.array_join("h.text", "").alias("joined"))
+    h = table(spark, sf, "benchmark").where("query <> ''").select("item_id", F.posexplode(X.highlighted(F.col("query"), F.coalesce(spans, F.array().cast(B.SPAN)))).alias("nth", "p"))
+    return h.select("item_id", "nth", "p.text", "p.label")
 
 
 @CORE.add()

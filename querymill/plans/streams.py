@@ -38,7 +38,8 @@ def stream_latest(spark, sf):
 @CORE.add()
 def stream_percentiles(spark, sf):
     """Median and 95th percentile of values per day and type."""
-    return W.drained(W.percentiles(W.source(spark, sf, "events"), "1 day", "10 minutes", ["event_type"], [0.5, 0.95]))
+    p = W.drained(W.percentiles(W.source(spark, sf, "events"), "1 day", "10 minutes", ["event_type"], [0.5, 0.95]))
+    return p.select("start", "event_type", "n", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"))
 
 
 @CORE.add()
