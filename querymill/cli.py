@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from querymill.operators import facts
 from querymill.plans.facts import dictionary
-from querymill.sources.readers import lines, write_metrics
+from querymill.sources.readers import lines, write_rows
 
 
 def main(argv: list[str]) -> None:
@@ -17,7 +17,7 @@ def main(argv: list[str]) -> None:
     spark = SparkSession.builder.getOrCreate()
     queries = lines(spark, path).where(~F.col("phrase").startswith("#")).select(F.monotonically_increasing_id().alias("id"), F.col("phrase").alias("query"))
     found = queries.join(facts.extract(queries, dictionary(spark, tables)), "id", "left").withColumn("colors", F.array_join("colors", " "))
-    write_metrics(found, out)
+    write_rows(found, out)
 
 
 if __name__ == "__main__":

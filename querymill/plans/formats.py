@@ -41,7 +41,7 @@ def format_upsert(spark, sf):
     c = table(spark, sf, "flat_catalog").withColumn("ts", F.lit(1))
     R.upsert(spark, c, p, ["sku_id"], ["ts"])
     R.upsert(spark, c.where("sku_id % 3 = 0").withColumn("brand", F.lit("new")).withColumn("ts", F.lit(2)), p, ["sku_id"], ["ts"])
-    return spark.read.schema(c.schema).json(p).drop("ts")
+    return R.stored(spark, p, c.schema).drop("ts")
 
 
 @CORE.add("SELECT canon, alias FROM spell_aliases")
@@ -53,15 +53,16 @@ def format_aliases(spark, sf):
     return R.aliases(spark, p)
 
 
-@CORE.add("SELECT sku_id::VARCHAR AS offer_id, name, brand, price::VARCHAR AS price FROM flat_catalog WHERE price IS NULL OR price = floor(price)")
+@CORE.add("SELECT sku_id::VARCHAR AS offer_id, name, brand, round(price * 100)::BIGINT AS cents FROM flat_catalog")
 def format_offers(spark, sf):
-    """Offers of a nested catalog dump."""
+    """Offers of nested catalog dumps, a dump a line, at varying depth and under varying names."""
     p = _place(spark)
-    c = table(spark, sf, "flat_catalog").where("price IS NULL OR price = floor(price)")
-    safe = F.struct(F.col("sku_id").cast("string").alias("@id"), F.col("name"), F.col("brand").alias("vendor"), F.when(F.col("price").isNotNull(), F.format_string("%.1f", F.col("price"))).alias("price"))
-    dump = c.agg(F.collect_list(safe).alias("offer")).select(F.to_json(F.struct(F.struct(F.struct(F.struct("offer").alias("offers")).alias("shop")).alias("yml_catalog"))).alias("value"))
-    dump.write.text(p)
-    return R.catalog_offers(spark, p).select("offer_id", "name", "brand", "price")
+    c = table(spark, sf, "flat_catalog").withColumn("sku", F.col("sku_id").cast("string"))
+    deep = F.to_json(F.struct(F.struct(F.struct(F.struct(F.array(F.struct(F.col("sku").alias("@id"), "name", F.col("brand").alias("vendor"), "price")).alias("offer")).alias("offers")).alias("shop")).alias("yml_catalog")))
+    flat = F.to_json(F.array(F.struct(F.col("sku").alias("id"), "name", "brand", "price")))
+    odd = F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(F.col("sku").alias("id"), F.col("name").alias("model"), "brand", "price")).alias("offers")).alias("list")).alias("export")))
+    c.select(F.when(F.col("sku_id") % 3 == 0, deep).when(F.col("sku_id") % 3 == 1, flat).otherwise(odd).alias("value")).write.text(p)
+    return R.catalog_offers(spark, p, lines_=True).select("offer_id", "name", "brand", F.round(F.col("price").cast("double") * 100).cast("long").alias("cents"))
 
 
 @CORE.add("SELECT sum((n > 0)::INT)::BIGINT AS n_raw, sum(ok)::BIGINT AS n_usable, sum(1 - ok)::BIGINT AS n_skipped FROM (SELECT 1 AS n, (item_id % 4 <> 0)::INT AS ok FROM benchmark WHERE query <> '')")
@@ -90,3 +91,16 @@ def format_phrases_all(spark, sf):
     p = _place(spark)
     R.write_phrases(table(spark, sf, "brands"), "brand", p)
     return R.lines(spark, p)
+
+
+@CORE.add("SELECT count(*) AS n, sum(len(entities))::BIGINT AS n_entities FROM benchmark WHERE query <> '' AND len(entities) >= 0")
+def format_gold_strict(spark, sf):
+    """Gold rows of the benchmark read by strict tokens: rows, and entities whose characters come back."""
+    from querymill.plans.learned import _sentences
+
+    p = _place(spark)
+    b = table(spark, sf, "benchmark").where("query <> '' AND entities IS NOT NULL").select(F.col("item_id").alias("id"), "query", F.size("entities").alias("k"))
+    s = _sentences(spark, sf).join(b, "id")
+    s.select(F.col("id").alias("index"), "query", "tags").write.json(p)
+    g = R.gold_strict(R.gold(spark, p))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("entities")).cast("long").alias("n_entities"))

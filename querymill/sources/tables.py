@@ -18,13 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder."""
+    """The session's checkpoint folder; a private one only where all tasks run on this machine and none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="querymill-")
     spark.sparkContext.setCheckpointDir(own)
     return shared_dir(spark)

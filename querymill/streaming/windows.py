@@ -44,23 +44,35 @@ def percentiles(events: DataFrame, size: str, late: str, by: list[str], shares:
     return agg.select(F.col("w.start").cast("timestamp_ntz").alias("start"), *by, "n", "p")
 
 
-def latest(stream: DataFrame, key: list[str], order: Column, keep: list[str]) -> DataFrame:
+def _last_below(spark: SparkSession, out: str, number: int) -> int | None:
+    """The last complete version of a table below ``number``, as the folder tells."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(jpath)] if fs.exists(jpath) else []
+    whole = [int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{n}/_SUCCESS"))]
+    return max((n for n in whole if n < number), default=None)
+
+
+def latest(stream: DataFrame, key: list[str], order: Column, keep: list[str], out: str | None = None) -> DataFrame:
     """Last write of each key over all that is there now.
 
-    Every micro-batch is reduced and merged into the next version of the table, whose number is the batch's: a repeated
-    batch rewrites its own version.
+    Every micro-batch is reduced and merged into the next version of the table in the folder ``out``, whose number is the
+    batch's: a repeated batch rewrites its own version, from the last complete one before it. The folder alone says which that
+    is, so a stream that starts again from its checkpoint goes on where it stopped. Without any row there is an empty table.
     """
     spark = stream.sparkSession
-    out = f"{shared_dir(spark)}/latest-{uuid.uuid4().hex}"
-    state = {"version": None}
+    out = out or f"{shared_dir(spark)}/latest-{uuid.uuid4().hex}"
     order = order.alias("order__")
+    rows = stream.select(*key, order, *keep)
 
     def merge(batch: DataFrame, number: int) -> None:
         new = batch.select(*key, order, *keep)
-        if state["version"] is not None:
-            new = new.unionByName(batch.sparkSession.read.parquet(f"{out}/v{state['version']}"))
+        before = _last_below(batch.sparkSession, out, number)
+        if before is not None:
+            new = new.unionByName(batch.sparkSession.read.schema(new.schema).parquet(f"{out}/v{before}"))
         new.groupBy(*key).agg(F.max(F.struct("order__", *keep)).alias("m")).select(*key, "m.*").write.mode("overwrite").parquet(f"{out}/v{number}")
-        state["version"] = number
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/v{state['version']}").drop("order__")
+    last = _last_below(spark, out, 1 << 62)
+    done = spark.createDataFrame([], rows.schema) if last is None else spark.read.schema(rows.schema).parquet(f"{out}/v{last}")
+    return done.drop("order__")

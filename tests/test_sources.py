@@ -1,5 +1,7 @@
 """Readers, writers, staging and streams."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from querymill.operators.stats import latest
@@ -19,7 +21,16 @@ def test_upsert_keeps_the_last_write(spark, tmp_path):
     p, s = str(tmp_path / "store"), "index int, v string, ts int"
     R.upsert(spark, spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], s), p, ["index"], ["ts"])
     R.upsert(spark, spark.createDataFrame([(2, "d", 5), (3, "e", 1)], s), p, ["index"], ["ts"])
-    assert sorted((r["index"], r["v"]) for r in spark.read.schema(s).json(p).collect()) == [(1, "b"), (2, "d"), (3, "e")]
+    want = [(1, "b"), (2, "d"), (3, "e")]
+    assert sorted((r["index"], r["v"]) for r in R.stored(spark, p, s).collect()) == want
+    # a version that a crash left unfinished is none, and the next upsert writes over it
+    spark.createDataFrame([(9, "x", 9)], s).write.json(f"{p}/v2")
+    os.remove(f"{p}/v2/_SUCCESS")
+    assert sorted((r["index"], r["v"]) for r in R.stored(spark, p, s).collect()) == want
+    R.upsert(spark, spark.createDataFrame([(4, "f", 1)], s), p, ["index"], ["ts"])
+    assert sorted((r["index"], r["v"]) for r in R.stored(spark, p, s).collect()) == [*want, (4, "f")]
+    assert sorted(x for x in os.listdir(p) if x.startswith("v")) == ["v1", "v2"]
+    assert R.stored(spark, str(tmp_path / "none"), s).count() == 0
 
 
 def test_csv_mark_and_log(spark, tmp_path):
@@ -58,9 +69,31 @@ def test_last_write_of_a_stream(spark, tmp_path):
     assert sorted((r.k, r.v) for r in W.latest(src, ["k"], F.col("o"), ["v"]).collect()) == [(1, "v2"), (2, "w0")]
 
 
-def test_staged_tables_can_be_dropped(spark):
-    import os
+def test_last_write_goes_on_after_a_restart(spark, tmp_path):
+    d, out, s = str(tmp_path / "in"), str(tmp_path / "out"), "k int, o int, v string"
+    read = lambda: W.latest(spark.readStream.schema(s).parquet(d), ["k"], F.col("o"), ["v"], out)
+    spark.createDataFrame([(1, 5, "old"), (2, 1, "x")], s).write.parquet(d)
+    assert sorted((r.k, r.v) for r in read().collect()) == [(1, "old"), (2, "x")]
+    spark.createDataFrame([(1, 4, "late"), (2, 2, "y")], s).write.mode("append").parquet(d)
+    assert sorted((r.k, r.v) for r in read().collect()) == [(1, "old"), (2, "y")]
+    assert sorted((r.k, r.v) for r in read().collect()) == [(1, "old"), (2, "y")]
+
+
+def test_offers_at_any_depth(spark, tmp_path):
+    one = '{"@id": 7, "vendor": "B", "model": "M", "price": 10.50, "name": null}'
+    for i, text in enumerate([f'{{"a": [{{"b": {{"offers": {{"offer": [{one}]}}}}}}]}}', f"[{one}, 3]", f'{{"offer": {one}}}', "{}", "no json", f'{{"offers": [{one}], "x": {{"offers": []}}}}']):
+        (tmp_path / f"{i}.json").write_text(text)
+    got = R.catalog_offers(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("7", "M", "B", None, None, "10.50")] * 4
 
+
+def test_journal(spark, tmp_path):
+    p = str(tmp_path / "journal")
+    R.write_journal(spark.createDataFrame([("a|b\nc", None, 3)], "q string, w string, n int"), p)
+    assert [r.value for r in spark.read.text(p).collect()] == ["| a\\|b c |  | 3 |"]
+
+
+def test_staged_tables_can_be_dropped(spark):
     from querymill.sources.tables import drop_staged
 
     f = stage(spark.range(3), "gone").inputFiles()[0].removeprefix("file://")
