@@ -94,14 +94,27 @@ def looks_like_model(c: Column) -> Column:
     return F.coalesce(t.rlike(r"^(?=.*[a-z])(?=.*\d)[a-z0-9][a-z0-9\-]{3,}$") & ~t.rlike(r"^\d+[a-zа-я]{1,3}$"), F.lit(False))
 
 
+#: Kinds whose patterns need no digit.
+WORDS_ONLY = ("resolution_standard", "connectivity")
+
+
 def pattern_spans(c: Column) -> Column:
-    """``(start, end, kind)`` of all matches of all patterns in order of precedence; offsets from gaps and matches."""
+    """``(start, end, kind)`` of all matches of all patterns in order of precedence; offsets from gaps and matches.
+
+    A text without a digit is tried against the few patterns that need none. Offsets are worked out for patterns that match.
+    """
+    some = c.rlike(r"\p{Nd}")
+    none = F.array().cast("array<string>")
+
+    def matches(name: str, rule: str) -> Column:
+        found = F.regexp_extract_all(c, F.lit(pattern(rule)), F.lit(0))
+        return F.struct(F.lit(name).alias("kind"), F.lit(pattern(rule)).alias("p"), (found if name in WORDS_ONLY else F.when(some, found).otherwise(none)).alias("found"))
 
-    def of(name: str, rule: str) -> Column:
-        p = pattern(rule)
-        found = F.regexp_extract_all(c, F.lit(p), F.lit(0))
-        gaps, sizes = F.transform(F.split(c, p, -1), F.length), F.transform(found, F.length)
+    def spans(r: Column) -> Column:
+        gaps, sizes = F.transform(F.split(c, r["p"], -1), F.length), F.transform(r["found"], F.length)
         add = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-        return F.transform(found, lambda m, i: F.struct((add(F.slice(gaps, 1, i + 1)) + add(F.slice(sizes, 1, i))).alias("start"), (add(F.slice(gaps, 1, i + 1)) + add(F.slice(sizes, 1, i + 1))).alias("end"), F.lit(name).alias("kind")))
+        ends = F.transform(sizes, lambda n, i: F.struct(add(F.slice(gaps, 1, i + 1)).alias("g"), add(F.slice(sizes, 1, i + 1)).alias("s"), n.alias("n")))
+        return F.transform(ends, lambda e: F.struct((e["g"] + e["s"] - e["n"]).alias("start"), (e["g"] + e["s"]).alias("end"), r["kind"].alias("kind")))
 
-    return F.flatten(F.array(*[of(n, r) for n, r in KINDS]))
+    hits = F.filter(F.array(*[matches(n, r) for n, r in KINDS]), lambda r: F.size(r["found"]) > 0)
+    return F.flatten(F.transform(hits, spans))

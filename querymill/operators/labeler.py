@@ -14,6 +14,8 @@ from querymill.functions.attributes import PURPOSES, TYPES, attribute_type, patt
 from querymill.functions.bio import SPAN, merged, spans
 from querymill.functions.text import label_key, ngrams, parted_numbers, token_spans
 from querymill.operators.facts import COLORS
+from querymill.operators.skew import salted_join
+from querymill.sources.tables import spread, stage
 
 # Genres known without a list.
 GENRES = "боевик драма триллер комедия ужасы фантастика фэнтези детектив мелодрама криминал приключения".split()
@@ -46,22 +48,31 @@ def dictionary(lists: dict[str, DataFrame]) -> DataFrame:
 def label(queries: DataFrame, phrases: DataFrame) -> DataFrame:
     """``id, text, tokens, tags`` of queries (id, query): text with parted units, its tokens with offsets and their BIO tags.
 
-    Null and empty queries have no row.
+    Null and empty queries have no row. Each distinct query is labelled once.
     """
-    base = queries.where("query <> ''").select("id", parted_numbers(F.col("query")).alias("text")).withColumn("tokens", token_spans(F.col("text"))).where("size(tokens) > 0")
-    keyed = base.withColumn("keys", F.transform("tokens", lambda t: label_key(t["token"])))
+    own = queries.where("query <> ''")
+    distinct = spread(own.select("query").distinct()).withColumn("id", F.col("query"))
+    labelled = _label(distinct, phrases).withColumnRenamed("id", "query")
+    return salted_join(own.select("id", "query"), labelled, ["query"]).select("id", "text", "tokens", "tags")
+
+
+def _label(queries: DataFrame, phrases: DataFrame) -> DataFrame:
+    base = queries.select("id", parted_numbers(F.col("query")).alias("text"))
+    keyed = base.select("id", "text", token_spans(F.col("text")).alias("tokens")).where("size(tokens) > 0").withColumn("keys", F.transform("tokens", lambda t: label_key(t["token"])))
+    # what is costly is worked out once, and told to both sides of the join
+    keyed = stage(keyed.withColumn("patterns", pattern_spans(F.col("text"))).withColumn("purposes", purpose_spans(F.col("text"))), "keyed")
     grams = keyed.select("id", F.explode(ngrams(F.col("keys"), LONGEST)).alias("g")).select("id", "g.*")
-    stage = F.element_at(F.create_map(*[x for k, (s, _) in STAGES.items() for x in (F.lit(k), F.lit(s))]), F.col("kind"))
+    nth = F.element_at(F.create_map(*[x for k, (s, _) in STAGES.items() for x in (F.lit(k), F.lit(s))]), F.col("kind"))
     name = F.element_at(F.create_map(*[x for k, (_, t) in STAGES.items() for x in (F.lit(k), F.lit(t))]), F.col("kind"))
     found = grams.join(phrases.where(F.col("kind").isin(list(STAGES))), "phrase")
-    per = found.groupBy("id").agg(F.array_sort(F.collect_set(F.struct(stage.alias("stage"), (-F.col("n")).alias("a"), (-F.length("phrase")).alias("b"), "phrase", F.col("pos").alias("start"), (F.col("pos") + F.col("n")).alias("end"), name.alias("label")))).alias("hits"))
+    per = found.groupBy("id").agg(F.array_sort(F.collect_set(F.struct(nth.alias("stage"), (-F.col("n")).alias("a"), (-F.length("phrase")).alias("b"), "phrase", F.col("pos").alias("start"), (F.col("pos") + F.col("n")).alias("end"), name.alias("label")))).alias("hits"))
     j = keyed.join(per, "id", "left")
     tags = F.aggregate(F.coalesce("hits", F.array().cast(per.schema["hits"].dataType)), F.transform("tokens", lambda _: F.lit("O")), _lay)
     tagged = j.withColumn("tags", tags)
     palette = F.array(*[F.lit(c) for c in COLORS])
     tagged = tagged.withColumn("tags", F.zip_with("tags", "keys", lambda t, k: F.when((t == "O") & F.array_contains(palette, k), "B-ATTR").otherwise(t)))
-    tagged = tagged.withColumn("tags", F.aggregate(pattern_spans(F.col("text")), F.col("tags"), lambda acc, s: _cover(acc, s, F.col("tokens"))))
-    tagged = tagged.withColumn("tags", F.aggregate(purpose_spans(F.col("text")), F.col("tags"), lambda acc, s: _cover(acc, s, F.col("tokens"))))
+    tagged = tagged.withColumn("tags", F.aggregate(F.col("patterns"), F.col("tags"), lambda acc, s: _cover(acc, s, F.col("tokens"))))
+    tagged = tagged.withColumn("tags", F.aggregate(F.col("purposes"), F.col("tags"), lambda acc, s: _cover(acc, s, F.col("tokens"))))
     seeds = F.array(*[F.lit(x) for x in sorted({*PURPOSES, *TYPES})])
     return tagged.select("id", "text", "tokens", F.zip_with("tags", "keys", lambda t, k: F.when((t == "O") & F.array_contains(seeds, k), "B-ATTR").otherwise(t)).alias("tags"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from querymill.functions.text import one_script, parts, plain_yo
 from querymill.functions.udf import similarity, weighted_edit
+from querymill.operators.skew import salted_join
 
 # The units to which a mistyped unit is repaired.
 UNITS = "гб gb тб tb мб mb мм mm см cm вт w квт kw гц hz кг л".split()
@@ -89,7 +90,7 @@ def best_candidates(words: DataFrame, vocabulary: DataFrame, accept: float = 0.8
     exact = own.join(known, own["t"] == known["w"]).select("t", F.col("w").alias("to"), F.lit(1.0).alias("score"))
     open_ = own.join(known, own["t"] == known["w"], "left_anti")
     pairs = near_pairs(open_, known, _edits, 2).where(F.levenshtein("t", "w") <= F.greatest(F.lit(2), _edits(F.length("t"), F.length("w"))))
-    scored = pairs.withColumn("score", similarity("t", "w")).where(F.col("score") >= accept).withColumn("d", weighted_edit("t", "w"))
+    scored = pairs.withColumn("d", weighted_edit("t", "w")).withColumn("score", 1 - F.col("d") / F.greatest(F.length("t"), F.length("w"))).where(F.col("score") >= accept)
     passed = scored.where(F.col("d") <= F.greatest(F.lit(1.0), F.length("t") * edit_share))
     best = passed.groupBy("t").agg(F.min(F.struct((-F.col("score")).alias("neg"), "w")).alias("m"))
     return exact.unionByName(best.select("t", F.col("m.w").alias("to"), (-F.col("m.neg")).alias("score")))
@@ -136,8 +137,15 @@ def fix_queries(queries: DataFrame, vocabulary: DataFrame, aliases: DataFrame) -
     """``id, fixed, n_fixes`` of queries (id, query): every word repaired, everything between kept.
 
     Numbers stay; a number with letters behind it is repaired as a glued unit; a word directly behind a number as a unit
-    where it isn't a known word; any other by the word cascade. Null queries have no row; '' stays.
+    where it isn't a known word; any other by the word cascade. Null queries have no row; '' stays. Each distinct query
+    is repaired once.
     """
+    own = queries.where("query IS NOT NULL").select("id", "query")
+    distinct = own.select("query").distinct().withColumn("id", F.col("query"))
+    return salted_join(own, _fix_queries(distinct, vocabulary, aliases).withColumnRenamed("id", "query"), ["query"]).select("id", "fixed", "n_fixes")
+
+
+def _fix_queries(queries: DataFrame, vocabulary: DataFrame, aliases: DataFrame) -> DataFrame:
     vocabulary = vocabulary.unionByName(vocabulary.sparkSession.createDataFrame([(u,) for u in UNITS], "w string"))
     cut = queries.where("query IS NOT NULL").select("id", F.posexplode_outer(parts(F.col("query"))).alias("pos", "part"))
     word = F.col("part").rlike(r"(?U)^\w")

@@ -61,3 +61,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def shuffle_partitions(spark: SparkSession) -> int:
     """Partitions of a shuffle as the session has them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as a shuffle has, before a step that takes far longer than reading them."""
+    return df.repartition(shuffle_partitions(df.sparkSession))
