@@ -24,24 +24,26 @@ def fuzzy_fill(queries: DataFrame, names: DataFrame, cutoff: float = 92.0, most:
     """``id, name, text, ratio``: for queries (id, query) the name (name) whose indel ratio with a run of up to ``most`` tokens is greatest and reaches the cutoff; ties by name, then text.
 
     A ratio r of words of n and m letters means at most (1 - r / 100) * (n + m) insertions and deletions, so pairs are
-    found by edit distance.
+    found by edit distance, and no run much longer than the longest name can reach the cutoff.
     """
     runs = queries.where("query <> ''").select("id", F.explode(ngrams(split_tokens(simple_key(F.col("query"))), most)).alias("g")).select("id", F.col("g.phrase").alias("t")).where("length(t) >= 4").distinct()
     known = names.select("name", F.array_join(split_tokens(simple_key(F.col("name"))), " ").alias("w")).where("length(w) >= 4")
     share = 1 - cutoff / 100
     edits = lambda n, m: F.floor((n + m) * share + 1e-9).cast("int")
-    longest = 40
-    pairs = near_pairs(runs.select("t").where(F.length("t") <= longest).distinct(), known.select("w").distinct(), edits, max(2, int(2 * longest * share)))
+    most_letters = known.agg(F.coalesce(F.max(F.length("w")), F.lit(0)).alias("m")).first()["m"]
+    longest = int(most_letters * (1 + share) / (1 - share) + 1e-9)
+    pairs = near_pairs(runs.select("t").where(F.length("t") <= longest).distinct(), known.select("w").distinct(), edits, max(2, int((longest + most_letters) * share)))
     good = pairs.where(F.levenshtein("t", "w") <= edits(F.length("t"), F.length("w"))).withColumn("ratio", indel_ratio("t", "w")).where(F.col("ratio") >= cutoff)
     named = good.join(known, "w").join(runs, "t")
     return named.groupBy("id").agg(F.min(F.struct((-F.round("ratio", 6)).alias("neg"), "name", "t")).alias("m")).select("id", "m.name", F.col("m.t").alias("text"), (-F.col("m.neg")).alias("ratio"))
 
 
-def substring_fill(queries: DataFrame, names: DataFrame, shortest: int = 4, longest: int = 24) -> DataFrame:
-    """``id, name``: the longest name that the query holds anywhere, ties by name; names of ``shortest`` to ``longest`` letters.
+def substring_fill(queries: DataFrame, names: DataFrame, shortest: int = 4) -> DataFrame:
+    """``id, name``: the longest name that the query holds anywhere, ties by name; names of ``shortest`` letters or more.
 
-    All substrings of these lengths are joined with the names by equality.
+    All substrings of the lengths that names have are joined with the names by equality.
     """
+    longest = max(shortest, names.agg(F.coalesce(F.max(F.length(simple_key(F.col("name")))), F.lit(0)).alias("m")).first()["m"])
     q = simple_key(F.col("query"))
     cuts = F.flatten(F.transform(F.sequence(F.lit(shortest), F.lit(longest)), lambda n: F.when(F.length("k") >= n, F.transform(F.sequence(F.lit(1), F.length("k") - n + 1), lambda i: F.substring(F.col("k"), i, n))).otherwise(F.array().cast("array<string>"))))
     own = queries.where("query <> ''").select("id", q.alias("k")).select("id", F.explode(F.array_distinct(cuts)).alias("s"))

@@ -33,7 +33,7 @@ def fuzzy_brand(spark, sf):
 
 
 @CORE.add(
-    f"SELECT id, name FROM (SELECT q.id, b.brand AS name, row_number() OVER (PARTITION BY q.id ORDER BY length(b.k) DESC, b.brand) AS rn FROM (SELECT item_id AS id, trim(regexp_replace(translate(lower(query), 'ё', 'е'), '{_SP}', ' ', 'g')) AS k FROM benchmark WHERE query <> '') q JOIN (SELECT brand, trim(regexp_replace(translate(lower(brand), 'ё', 'е'), '{_SP}', ' ', 'g')) AS k FROM brands) b ON length(b.k) BETWEEN 4 AND 24 AND contains(q.k, b.k)) WHERE rn = 1"
+    f"SELECT id, name FROM (SELECT q.id, b.brand AS name, row_number() OVER (PARTITION BY q.id ORDER BY length(b.k) DESC, b.brand) AS rn FROM (SELECT item_id AS id, trim(regexp_replace(translate(lower(query), 'ё', 'е'), '{_SP}', ' ', 'g')) AS k FROM benchmark WHERE query <> '') q JOIN (SELECT brand, trim(regexp_replace(translate(lower(brand), 'ё', 'е'), '{_SP}', ' ', 'g')) AS k FROM brands) b ON length(b.k) >= 4 AND contains(q.k, b.k)) WHERE rn = 1"
 )
 def substring_brand(spark, sf):
     """The longest brand that the query holds anywhere."""

@@ -109,7 +109,7 @@ def test_plain_is_idempotent_and_keeps_plain_text():
 def test_near_brands_against_brute_force(spark, sf):
     import re
 
-    from querymill.plans.text import near_brands_all
+    from querymill.plans.text import near_brands
     from querymill.sources.tables import table
 
     def edits(a, b):
@@ -122,4 +122,4 @@ def test_near_brands_against_brute_force(spark, sf):
 
     words = sorted({w.lower() for r in table(spark, sf, "brands").collect() for w in re.findall("[a-zA-Z]{5,}", r.brand or "")})
     want = {(a, b, d) for a in words for b in words if a < b and abs(len(a) - len(b)) <= 2 and (d := edits(a, b)) <= 5}
-    assert any(a[:2] != b[:2] for a, b, _ in want) and {tuple(r) for r in near_brands_all(spark, sf).collect()} == want
+    assert any(a[:2] != b[:2] for a, b, _ in want) and {tuple(r) for r in near_brands(spark, sf).collect()} == want
