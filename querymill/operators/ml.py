@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querymill.functions.text import jaccard, plain_tokens, word_shape
+from querymill.sources.tables import spread, stage
 
 
 def char_grams(c: Column, low: int, high: int) -> Column:
@@ -110,11 +111,12 @@ class BrandClassifier:
         return HashingTF(numFeatures=self.features, inputCol="grams", outputCol="features").transform(grams)
 
     def fit(self, train: DataFrame) -> BrandClassifier:
-        """``train``: text, label (string), weight; fitted on at most ``rows`` rows in a fixed random order."""
-        used = train.orderBy(F.md5("text"), "text").limit(self.rows)
+        """``train``: text, label (string), weight; equal rows are one of their summed weight, and at most ``rows`` such are fitted on, in a fixed random order."""
+        # staged, as the loss checks labels below a limit too, where some may be of no class drawn
+        used = stage(train.groupBy("text", "label").agg(F.sum("weight").alias("weight")).orderBy(F.md5("text"), "text", "label").limit(self.rows), "drawn")
         self.labels = [r[0] for r in used.select("label").distinct().orderBy("label").collect()]
         ids = F.array_position(F.array(*[F.lit(x) for x in self.labels]), F.col("label")) - 1
-        self.model = LogisticRegression(maxIter=30, regParam=0.003, weightCol="weight", elasticNetParam=0.0).fit(self._vectors(used.withColumn("label", ids.cast("double"))))
+        self.model = LogisticRegression(maxIter=30, regParam=0.003, weightCol="weight", elasticNetParam=0.0).fit(self._vectors(spread(used).withColumn("label", ids.cast("double"))))
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Spelling, labels, facts, metrics, markov, learned parts on small rows."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +112,20 @@ def test_viterbi_and_tagger(spark):
     assert all(got[i] == t for i, _, t in rows)
 
 
+def test_classifier_counts_repeats_and_leaves_undrawn_classes(spark):
+    rows = [("aa", "x", 1.0)] * 6 + [("bb", "y", 1.0), ("cc", "y", 1.0), ("dd", "z", 1.0), ("ee", "w", 1.0)]
+    df = spark.createDataFrame(rows, "text string, label string, weight double")
+    assert ml.BrandClassifier(features=64, rows=5).fit(df).labels == ["w", "x", "y", "z"]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        few = ml.BrandClassifier(features=64, rows=2).fit(df)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    first = sorted({(t, c) for t, c, _ in rows}, key=lambda r: hashlib.md5(r[0].encode()).hexdigest())[:2]
+    assert few.labels == sorted({c for _, c in first})
+    assert {r.text: r.top for r in few.predict(df).collect() if (r.text, r.label) in first} == dict(first)
+
+
 def test_nearest_is_exact(spark):
     rnd = np.random.default_rng(2)
     x = rnd.normal(size=(120, 8))
