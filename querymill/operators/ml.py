@@ -170,8 +170,8 @@ class Tagger:
 
     def fit(self, train: DataFrame) -> Tagger:
         """``train``: id, tokens, tags; fitted on at most ``rows`` sentences in a fixed random order. An I- may follow only its own kind."""
-        used = train.where("size(tokens) > 0").orderBy(F.md5(F.col("id").cast("string")), "id").limit(self.rows)
-        t = self._tokens(used)
+        used = stage(train.where("size(tokens) > 0").select("id", "tokens", "tags").orderBy(F.md5(F.col("id").cast("string")), "id").limit(self.rows), "drawn")
+        t = self._tokens(spread(used))
         self.tags = [r[0] for r in t.select("tag").distinct().orderBy("tag").collect()]
         names = F.array(*[F.lit(x) for x in self.tags])
         self.model = LogisticRegression(maxIter=30, regParam=0.001).fit(t.withColumn("label", (F.array_position(names, F.col("tag")) - 1).cast("double")))

@@ -112,6 +112,18 @@ def test_viterbi_and_tagger(spark):
     assert all(got[i] == t for i, _, t in rows)
 
 
+def test_tagger_reads_its_sentences_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        seen.add(1)
+        return x
+
+    df = spark.createDataFrame([(i, ["asus", "pro"], ["B-B", "O"]) for i in range(40)], "id long, tokens array<string>, tags array<string>")
+    model = ml.Tagger(features=64, rows=30).fit(df.coalesce(1).withColumn("id", F.udf(told, "long")("id")))
+    assert model.tags == ["B-B", "O"] and seen.value == 40
+
+
 def test_classifier_counts_repeats_and_leaves_undrawn_classes(spark):
     rows = [("aa", "x", 1.0)] * 6 + [("bb", "y", 1.0), ("cc", "y", 1.0), ("dd", "z", 1.0), ("ee", "w", 1.0)]
     df = spark.createDataFrame(rows, "text string, label string, weight double")
