@@ -6,6 +6,11 @@ n-grams, so a large dictionary is as good as a small one; Catalyst broadcasts it
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+from functools import cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,29 +102,86 @@ def _signatures(items: DataFrame, asked: DataFrame, top: int) -> DataFrame:
     w = Window.partitionBy("t", "n", "b").orderBy("sku_id")
     first = named.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top)
     kinds = first.groupBy("t", "n", "b").agg(F.array_sort(F.collect_list("sku_id")).alias("skus"))
-    return kinds.select(F.sha2(F.to_json(F.struct("t", "n", "b")), 256).alias("sid"), "t", "n", "b", F.get("skus", F.lit(0)).alias("first"), "skus")
-
-
-def _probes(asked: DataFrame, index: DataFrame, least: float, w: dict) -> DataFrame:
-    """``fid, token``: tokens of which an item must hold one to score more than ``least``.
-
-    Without a penalty to make up for these are all tokens of a fact. With a brand that an item lacks, the penalty is
-    made up for only by a whole phrase, which can't be there without its rarest token, or by a cosine c of at least
-    (least - penalty) / weight; then more than c * c of the fact's tokens are there, so one of the rarest few is.
-    """
-    none = F.array().cast("array<string>")
-    words = lambda c: F.coalesce(F.split(c, " "), none)
-    c = (least - w["other"]) / w["cosine"]
-    strict = F.col("brand_text").isNotNull() & (F.size("own") == F.size(F.array_distinct("own"))) if c > 0.5 and not w["any_token"] else F.lit(False)
-    every = asked.where(~strict).select("fid", F.explode("all").alias("token"))
-    phrases_ = F.concat(F.array(words("brand_text"), words("category"), words("model")), F.transform(F.coalesce("colors", none), words))
-    some = asked.where(strict).select("fid", F.size("own").alias("size"), F.posexplode(F.concat(phrases_, F.array(F.col("own")))).alias("nth", "t"), F.size(phrases_).alias("last"))
-    df = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    each = some.select("fid", "size", "nth", "last", F.explode("t").alias("token")).join(df, "token", "left")
-    rare = each.groupBy("fid", "nth", "size", "last").agg(F.array_sort(F.collect_set(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("l"))
-    missing = F.ceil(F.col("size") * (1 - c * c)).cast("int")
-    few = rare.select("fid", F.explode(F.slice("l", 1, F.when(F.col("nth") == F.col("last"), F.greatest(F.lit(1), missing)).otherwise(1))).alias("x"))
-    return every.unionByName(few.select("fid", "x.token")).distinct()
+    return kinds.select(F.monotonically_increasing_id().alias("sid"), "t", "n", "b", F.get("skus", F.lit(0)).alias("first"), "skus")
+
+
+#: Facts and kinds of items that one task scores at a time; what it holds is some hundred bytes of each.
+FACTS, KINDS = 1 << 13, 1 << 17
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """To six digits as Spark rounds: half up, by the shortest decimal form."""
+    y = x * 1e6
+    out = np.floor(y + 0.5) / 1e6
+    for i in np.flatnonzero(np.abs(y - np.floor(y) - 0.5) < 1e-5):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    return out
+
+
+def _best(facts: pd.DataFrame, kinds: pd.DataFrame, top: int, least: float, w: dict) -> pd.DataFrame:
+    """The ``top`` best kinds of a block for each fact of a block, exact: all kinds that hold any token of a fact are scored, from lists of the kinds that hold a token or a phrase."""
+    kinds = kinds.sort_values("first", kind="stable")
+    sid, first, names, norm = kinds["sid"].to_numpy(), kinds["first"].to_numpy(), (" " + kinds["name"] + " ").tolist(), np.sqrt(kinds["n"].to_numpy(float))
+    lists: tuple[dict, dict, dict] = ({}, {}, {})  # kinds by token of the name, by brand, by token of the brand
+    for i, (name, b) in enumerate(zip(kinds["name"], kinds["b"])):
+        for by, keys in zip(lists, (set(name.split(" ")), (b,), set(b.split(" ")))):
+            for k in keys:
+                by.setdefault(k, []).append(i)
+    nobody = np.zeros(0, np.int64)
+    tokens, brands, brand_tokens = ({k: np.array(v) for k, v in by.items() if k not in ("", OTHER) or by is lists[1]} for by in lists)
+
+    @cache
+    def holding(phrase: str | None) -> np.ndarray:
+        if phrase is None or phrase.strip(" ") == "":
+            return nobody
+        each = phrase.split(" ")
+        of = min((tokens.get(x, nobody) for x in each if x), key=len)
+        return of if len(each) == 1 else np.array([i for i in of if f" {phrase} " in names[i]], np.int64)
+
+    @cache
+    def of_brand(brand: str) -> np.ndarray:
+        return np.union1d(brands.get(brand, nobody), holding(brand))
+
+    @cache
+    def of_any(category: str) -> np.ndarray:
+        return np.unique(np.concatenate([nobody, *[tokens.get(x, nobody) for x in category.split(" ")]]))
+
+    # without a score of its own a pair counts only if any token is shared
+    loose = least < max(0.0, w["other"])
+    count = np.zeros(len(kinds), np.int64)
+    out = []
+    asked = facts[["num", "brand_text", "category", "model", "colors", "own"]].astype(object)
+    for fid, brand, category, model, hues, own in asked.where(asked.notna(), None).itertuples(index=False, name=None):
+        count.fill(0)
+        for x in own:
+            count[tokens.get(x, nobody)] += 1
+        for h in hues if hues is not None else ():
+            count[holding(h)] += 1 << 20
+        if brand is not None:
+            count[of_brand(brand)] += 1 << 40
+        count[of_any(category) if w["any_token"] and category is not None else holding(category)] += 1 << 41
+        count[holding(model)] += 1 << 42
+        if loose:
+            for x in {*own, *(brand or "").split(" ")}:
+                for by in (tokens, brand_tokens):
+                    count[by.get(x, nobody)] += 1 << 43
+        at = np.flatnonzero(count)
+        c = count[at]
+        hit, has_cat, has_model, attrs, common = c >> 40 & 1, c >> 41 & 1, c >> 42 & 1, c >> 20 & 0xFFFFF, c & 0xFFFFF
+        # added up in the order of the columns, so that sums are the same to the last bit
+        n = norm[at] * np.sqrt(float(len(own)))
+        cosine = np.divide(common, n, out=np.zeros(len(at)), where=n > 0)
+        score = np.where(hit, w["brand"], 0.0 if brand is None else w["other"]) + has_cat * w["category"] + has_model * w["model"] + w["attribute"] * attrs + w["cosine"] * cosine
+        some = np.flatnonzero(score > least - 1e-5)
+        if len(some) > top:
+            some = some[score[some] >= np.partition(score[some], len(some) - top)[len(some) - top] - 2e-6]
+        r = _rounded(score[some])
+        best = np.argsort(-r, kind="stable")[:top]
+        best = best[r[best] > least]
+        if len(best):
+            k = some[best]
+            out.append(pd.DataFrame({"num": fid, "sid": sid[at[k]], "first": first[at[k]], "score": r[best], "hits": hit[k] + 2 * has_cat[k] + 4 * has_model[k] + 8 * (attrs[k] > 0)}))
+    return pd.concat(out) if out else pd.DataFrame({"num": [], "sid": [], "first": [], "score": [], "hits": []})
 
 
 def rank(facts: DataFrame, catalog: DataFrame, top: int = 30, least: float = 0.15, weights: dict | None = None) -> DataFrame:
@@ -129,7 +191,7 @@ def rank(facts: DataFrame, catalog: DataFrame, top: int = 30, least: float = 0.1
     are added up; scores of ``least`` and below are dropped; ties by sku_id; ``match`` is the share of the
     best score. A phrase counts where it stands in the name as whole tokens; attributes are the phrases of ``colors``, of any kind.
     Exact without a pair for each item: equal facts are ranked once, against the kinds of items that facts can tell
-    apart; only kinds that hold one of a fact's rarest tokens are scored, chosen so that no other can exceed ``least``; of a kind
+    apart; a block of facts meets a block of kinds in memory, and no pair but the ``top`` best of each fact leaves it; of a kind
     the first ``top`` items are enough, and so are the first ``top`` kinds of a fact. Null sku_ids and empty names have no rank.
     """
     w = weights or NATIVE
@@ -140,35 +202,21 @@ def rank(facts: DataFrame, catalog: DataFrame, top: int = 30, least: float = 0.1
     none = F.array().cast("array<string>")
     hues = F.coalesce("colors", none)
     own = F.concat(F.coalesce(F.split("category", " "), none), F.coalesce(F.split("model", " "), none), F.flatten(F.transform(hues, lambda h: F.split(h, " "))))
-    asked = stage(distinct.withColumn("own", own).withColumn("all", F.array_distinct(F.concat("own", F.coalesce(F.split("brand_text", " "), none)))), "asked")
+    asked = stage(distinct.withColumn("own", own).withColumn("all", F.array_distinct(F.concat("own", F.coalesce(F.split("brand_text", " "), none)))).withColumn("num", F.monotonically_increasing_id()), "asked")
     items = catalog.where("sku_id IS NOT NULL").select("sku_id", query_tokens(F.coalesce("name", F.lit(""))).alias("t"), F.array_join(query_tokens(F.coalesce("brand", F.lit(""))), " ").alias("b"))
     kinds = stage(_signatures(items, asked, top), "kinds")
-    index = kinds.select("sid", F.explode(F.filter(F.array_distinct(F.concat("t", F.split("b", " "))), lambda w: ~w.isin("", OTHER))).alias("token"))
-    pairs = _probes(asked, index, least, w).join(index, "token").select("fid", "sid").distinct()
-    # all that one side knows is worked out before the pairs, which are many
-    ends = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    left = asked.select("fid", "brand_text", ends(F.col("brand_text")).alias("in_brand"), ends(F.col("category")).alias("in_category"), F.split("category", " ").alias("c"), ends(F.col("model")).alias("in_model"), F.transform(hues, ends).alias("in_attrs"), "own", (F.size("own") > F.size(F.array_distinct("own"))).alias("repeats"), F.sqrt(F.size("own")).alias("own_norm"))
-    right = kinds.select("sid", "first", "t", "b", ends(F.array_join("t", " ")).alias("name"), F.sqrt("n").alias("norm"))
-    scored = pairs.join(left, "fid").join(right, "sid")
-    held = lambda c: F.coalesce(F.col("name").contains(F.col(c)), F.lit(False))
-    has_brand = F.col("brand_text").isNotNull()
-    brand_hit = has_brand & ((F.col("b") == F.col("brand_text")) | held("in_brand"))
-    cat, mod = held("in_category"), held("in_model")
-    if w["any_token"]:
-        cat = F.coalesce(F.arrays_overlap("t", "c"), F.lit(False))
-    attrs = F.when(F.size("in_attrs") == 0, 0).otherwise(F.size(F.filter("in_attrs", lambda h: F.col("name").contains(h))))
-    common = F.when(F.col("repeats"), F.size(F.filter("own", lambda x: F.array_contains(F.col("t"), x)))).otherwise(F.size(F.array_intersect("own", "t")))
-    cosine = F.when((F.col("own_norm") > 0) & (F.col("norm") > 0), common / (F.col("own_norm") * F.col("norm"))).otherwise(0.0)
-    scored = scored.select("fid", "sid", "first", brand_hit.alias("brand_hit"), has_brand.alias("has_brand"), cat.alias("cat"), mod.alias("mod"), attrs.alias("attrs"), cosine.alias("cosine"))
-    brand_hit, has_brand, cat, mod, attrs, cosine = (F.col(c) for c in ("brand_hit", "has_brand", "cat", "mod", "attrs", "cosine"))
-    found = F.when(brand_hit, w["brand"]).when(has_brand, w["other"]).otherwise(0.0) + F.when(cat, w["category"]).otherwise(0.0) + F.when(mod, w["model"]).otherwise(0.0)
-    score = found + w["attribute"] * attrs + w["cosine"] * cosine
-    why = F.concat_ws("+", F.when(brand_hit, "brand"), F.when(cat, "category"), F.when(mod, "model"), F.when(attrs > 0, "attributes"))
-    # rounded before the order, as ties are told by the rounded score
-    kept = scored.select("fid", "sid", "first", F.round(score, 6).alias("score"), why.alias("why")).where(F.col("score") > least)
-    number = lambda c: F.row_number().over(Window.partitionBy("fid").orderBy(F.desc("score"), c))
+    n_facts, n_kinds = -(-asked.count() // FACTS), -(-kinds.count() // KINDS)
+    # each block of facts meets each block of kinds once, and only the best of it go on
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(1, n)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)).cast("array<long>"))
+    left = asked.select("num", "brand_text", "category", "model", "colors", "own", block("num", n_facts).alias("fb")).withColumn("kb", every(n_kinds))
+    right = kinds.select("sid", "first", F.array_join("t", " ").alias("name"), "n", "b", block("sid", n_kinds).alias("kb")).withColumn("fb", every(n_facts))
+    kept = left.groupBy("fb", "kb").cogroup(right.groupBy("fb", "kb")).applyInPandas(lambda a, b: _best(a, b, top, least, w), f"num long, sid long, first {dict(kinds.dtypes)['first']}, score double, hits long")
+    why = F.concat_ws("+", *[F.when(F.col("hits").bitwiseAND(1 << i) > 0, name) for i, name in enumerate(("brand", "category", "model", "attributes"))])
+    kept = kept.select("num", "sid", "first", "score", why.alias("why"))
+    number = lambda c: F.row_number().over(Window.partitionBy("num").orderBy(F.desc("score"), c))
     best = kept.withColumn("rn", number("first")).where(F.col("rn") <= top).drop("rn", "first")
-    each = best.join(kinds.select("sid", "skus"), "sid").select("fid", "score", "why", F.explode("skus").alias("sku_id"))
+    each = best.join(kinds.select("sid", "skus"), "sid").select("num", "score", "why", F.explode("skus").alias("sku_id"))
     each = each.withColumn("rn", number("sku_id")).where(F.col("rn") <= top)
-    each = each.withColumn("match", F.round(F.col("score") / F.max("score").over(Window.partitionBy("fid")), 6))
+    each = each.withColumn("match", F.round(F.col("score") / F.max("score").over(Window.partitionBy("num")), 6)).join(asked.select("num", "fid"), "num").drop("num")
     return salted_join(facts.select("id", "fid"), each, ["fid"]).select("id", "sku_id", "score", "match", "why", F.col("rn").cast("long").alias("rn"))
