@@ -86,7 +86,8 @@ def test_extract_and_rank(spark):
     assert facts.rank(f, items.limit(0)).count() == 0
 
 
-def test_rank_in_blocks_is_exact(spark, monkeypatch):
+@pytest.mark.parametrize(("w", "top", "least"), [(facts.NATIVE, 30, 0.15), (facts.SIMPLE, 12, 0.05)])
+def test_rank_in_blocks_is_exact(spark, monkeypatch, w, top, least):
     rnd = np.random.default_rng(3)
     pick = lambda n, words: " ".join(rnd.choice(words, n))
     words = ["ring", "bolt", "x1", "x2", "red", "blue", "acme", "pro"]
@@ -95,20 +96,20 @@ def test_rank_in_blocks_is_exact(spark, monkeypatch):
     f = spark.createDataFrame(asked, "id int, brand_text string, category string, model string, colors array<string>")
     monkeypatch.setattr(facts, "FACTS", 7)
     monkeypatch.setattr(facts, "KINDS", 40)
-    w, want = facts.NATIVE, set()
+    want = set()
     for i, brand, category, model, colors in asked:
         own = [*(category or "").split(), *(model or "").split(), *colors]
         scores = []
         for sku, name, b in items:
             t, held = name.split(), lambda p, name=name: p is not None and f" {p} " in f" {name} "
             common = sum(x in t for x in own) if len(own) > len(set(own)) else len({*own} & {*t})
-            s = (w["brand"] if brand and (b == brand or held(brand)) else w["other"] if brand else 0.0) + w["category"] * held(category) + w["model"] * held(model)
+            s = (w["brand"] if brand and (b == brand or held(brand)) else w["other"] if brand else 0.0) + w["category"] * (bool({*(category or "").split()} & {*t}) if w["any_token"] else held(category)) + w["model"] * held(model)
             s = round(s + w["attribute"] * sum(map(held, colors)) + w["cosine"] * (common / (len(own) ** 0.5 * len(t) ** 0.5)), 6)
-            if s > 0.15:
+            if s > least:
                 scores.append((-s, sku))
-        want |= {(i, sku, -s, n) for n, (s, sku) in enumerate(sorted(scores)[:30], 1)}
+        want |= {(i, sku, -s, n) for n, (s, sku) in enumerate(sorted(scores)[:top], 1)}
     catalog = spark.createDataFrame(items, "sku_id int, name string, brand string")
-    assert {(r.id, r.sku_id, r.score, r.rn) for r in facts.rank(f, catalog).collect()} == want
+    assert {(r.id, r.sku_id, r.score, r.rn) for r in facts.rank(f, catalog, top, least, w).collect()} == want
 
 
 def test_fills(spark):
