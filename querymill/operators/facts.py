@@ -6,17 +6,20 @@ n-grams, so a large dictionary is as good as a small one; Catalyst broadcasts it
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import ROUND_HALF_UP, Decimal
 from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querymill.functions.text import ngrams, parted_numbers, simple_key, split_tokens
 from querymill.operators.skew import salted_join
-from querymill.sources.tables import stage
+from querymill.sources.tables import shuffle_partitions, stage
 
 # Colour words.
 COLORS = (
@@ -44,6 +47,31 @@ def phrases(df: DataFrame, kind: str, name: str, canonical: str | None = None) -
     return df.select(F.lit(kind).alias("kind"), phrase.alias("phrase"), F.col(canonical or name).alias("canonical")).where("phrase <> ''").groupBy("kind", "phrase").agg(F.min("canonical").alias("canonical"))
 
 
+#: Bits of a filter: 8 MB, of whatever number of strings.
+BITS = 26
+
+
+def _among(strings: DataFrame) -> Callable[[Column], Column]:
+    """A test of arrays of strings that says of each whether it may be one of ``strings`` (s): true for all that are, and for the few that share the first ``BITS`` bits of their hash with one.
+
+    So a join with many strings can drop most of what matches nothing before it is shuffled.
+    """
+    at = F.shiftrightunsigned(F.xxhash64("s"), 64 - BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+    words = strings.where("s IS NOT NULL").groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(1 << max(0, BITS - 6), np.uint64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    shared, shift = strings.sparkSession.sparkContext.broadcast(bits), np.uint64(64 - BITS)
+
+    @F.arrow_udf("array<boolean>")
+    def known(hashes: pa.Array) -> pa.Array:
+        at = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64) >> shift
+        held = shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
+        return pa.ListArray.from_arrays(np.append(0, np.cumsum(pc.list_value_length(hashes).to_numpy(zero_copy_only=False))).astype(np.int32), pa.array(held.astype(bool)))
+
+    return lambda c: known(F.transform(c, lambda x: F.xxhash64(x)))
+
+
 def extract(queries: DataFrame, dictionary: DataFrame, colors: list[str] | None = None) -> DataFrame:
     """``id, brand, brand_text, category, model, colors`` of queries (id, query).
 
@@ -53,7 +81,10 @@ def extract(queries: DataFrame, dictionary: DataFrame, colors: list[str] | None
     """
     palette = F.array(*[F.lit(c) for c in (colors or COLORS)])
     own = queries.select("query").where("query <> ''").distinct().select("query", query_tokens(F.col("query")).alias("t"))
-    grams = own.select("query", F.explode(ngrams(F.col("t"), max(LONGEST.values()))).alias("g")).select("query", "g.*")
+    # most n-grams are no phrase, and go no further
+    listed = _among(dictionary.select(F.col("phrase").alias("s")))
+    grams = own.select("query", ngrams(F.col("t"), max(LONGEST.values())).alias("gs")).select("query", "gs", listed(F.col("gs.phrase")).alias("k"))
+    grams = grams.select("query", F.explode(F.filter("gs", lambda _, i: F.get("k", i))).alias("g")).select("query", "g.*")
     hits = grams.join(dictionary, "phrase")
     limit = F.element_at(F.create_map(*[x for k, v in LONGEST.items() for x in (F.lit(k), F.lit(v))]), F.col("kind"))
     hits = hits.where(F.col("n") <= limit)
@@ -85,28 +116,35 @@ OTHER = "·"
 
 
 def _signatures(items: DataFrame, asked: DataFrame, top: int) -> DataFrame:
-    """``sid, t, n, b, first, skus``: the items (sku_id, t, b) that look the same to all facts asked (all, brand_text), and the ``top`` smallest sku_ids of each kind.
+    """``sid, name, n, b, first, skus``: the items (sku_id, t, bt) that look the same to all facts asked (all, brand_text), and the ``top`` smallest sku_ids of each kind.
 
-    All that a score can see of an item are its asked tokens in their order, the number of its tokens, and whether its
-    brand is an asked one. So there are as many kinds as the facts can tell apart, however many items there are.
+    All that a score can see of an item are its asked tokens in their order, the number of its tokens, and its brand where a
+    token of that is asked. So there are about as many kinds as the facts can tell apart, however many items there are.
+    Asked tokens are told by a filter of bounded size, so tokens are not shuffled; a token it lets through for the hash of
+    another stays in its name, which at worst makes two kinds of one.
     """
-    vocabulary = asked.select(F.explode("all").alias("token")).distinct().withColumn("known", F.lit(True))
-    brands = asked.select(F.col("brand_text").alias("b")).where("b IS NOT NULL").distinct().withColumn("kept", F.lit(True))
-    each = salted_join(items.select("sku_id", F.posexplode("t").alias("pos", "token")), vocabulary, ["token"], "left")
-    masked = each.groupBy("sku_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("known"), F.col("token")).otherwise(OTHER).alias("w")))).alias("l"))
-    words = F.col("l.w")
-    run = F.filter(words, lambda w, i: (w != OTHER) | (i == 0) | (F.get(words, i - 1) != OTHER))
-    named = items.select("sku_id", "b").join(masked.select("sku_id", run.alias("t"), F.size("l").alias("n")), "sku_id", "left")
-    named = salted_join(named, brands, ["b"], "left").select("sku_id", F.coalesce("t", F.array().cast("array<string>")).alias("t"), F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("kept"), F.col("b")).otherwise("").alias("b"))
+    known = _among(asked.select(F.explode("all").alias("s")))
+    told = items.select("sku_id", "t", "bt", known(F.col("t")).alias("k"), known(F.col("bt")).alias("kb"))
+    words = F.transform("t", lambda x, i: F.when(F.get("k", i), x).otherwise(OTHER))
+    run = F.filter(words, lambda x, i: (x != OTHER) | (i == 0) | F.get("k", i - 1))
+    named = told.select("sku_id", F.array_join(run, " ").alias("name"), F.size("t").alias("n"), F.when(F.exists("kb", lambda x: x), F.array_join("bt", " ")).otherwise("").alias("b"))
     # the limit is applied before the shuffle too, so a kind that most items are of is no burden
-    w = Window.partitionBy("t", "n", "b").orderBy("sku_id")
+    w = Window.partitionBy("name", "n", "b").orderBy("sku_id")
     first = named.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top)
-    kinds = first.groupBy("t", "n", "b").agg(F.array_sort(F.collect_list("sku_id")).alias("skus"))
-    return kinds.select(F.monotonically_increasing_id().alias("sid"), "t", "n", "b", F.get("skus", F.lit(0)).alias("first"), "skus")
+    kinds = first.groupBy("name", "n", "b").agg(F.array_sort(F.collect_list("sku_id")).alias("skus"))
+    return kinds.select(F.monotonically_increasing_id().alias("sid"), "name", "n", "b", F.get("skus", F.lit(0)).alias("first"), "skus")
+
 
+#: Facts and kinds of items that one task scores at a time at most; what it holds is some hundred bytes of each, and the best of each fact.
+FACTS, KINDS = 1 << 15, 1 << 17
+#: Pairs of a fact and a kind that are worth a task of their own.
+PAIRS = 1 << 24
 
-#: Facts and kinds of items that one task scores at a time; what it holds is some hundred bytes of each.
-FACTS, KINDS = 1 << 13, 1 << 17
+
+def _blocks(facts: int, kinds: int, tasks: int) -> tuple[int, int]:
+    """Blocks of facts and of kinds: of bounded size, and enough pairs of them for the tasks if there is work for so many."""
+    n_facts, n_kinds = max(1, -(-facts // FACTS)), max(1, -(-kinds // KINDS))
+    return max(n_facts, -(-min(tasks, facts * kinds // PAIRS) // n_kinds)), n_kinds
 
 
 def _rounded(x: np.ndarray) -> np.ndarray:
@@ -180,8 +218,11 @@ def _best(facts: pd.DataFrame, kinds: pd.DataFrame, top: int, least: float, w: d
         best = best[r[best] > least]
         if len(best):
             k = some[best]
-            out.append(pd.DataFrame({"num": fid, "sid": sid[at[k]], "first": first[at[k]], "score": r[best], "hits": hit[k] + 2 * has_cat[k] + 4 * has_model[k] + 8 * (attrs[k] > 0)}))
-    return pd.concat(out) if out else pd.DataFrame({"num": [], "sid": [], "first": [], "score": [], "hits": []})
+            out.append((np.full(len(k), fid), at[k], r[best], (hit[k] + 2 * has_cat[k] + 4 * has_model[k] + 8 * (attrs[k] > 0)).astype(np.int8)))
+    if not out:
+        return pd.DataFrame({"num": [], "sid": [], "first": [], "score": [], "hits": []})
+    num, at, score, hits = map(np.concatenate, zip(*out))
+    return pd.DataFrame({"num": num, "sid": sid[at], "first": first[at], "score": score, "hits": hits})
 
 
 def rank(facts: DataFrame, catalog: DataFrame, top: int = 30, least: float = 0.15, weights: dict | None = None) -> DataFrame:
@@ -196,27 +237,27 @@ def rank(facts: DataFrame, catalog: DataFrame, top: int = 30, least: float = 0.1
     """
     w = weights or NATIVE
     key = ["brand_text", "category", "model", "colors"]
-    fid = F.sha2(F.to_json(F.struct(*key)), 256)
+    fid = F.unhex(F.sha2(F.to_json(F.struct(*key)), 256))
     facts = stage(facts.select("id", *key, fid.alias("fid")), "facts")
     distinct = facts.select("fid", *key).dropDuplicates(["fid"])
     none = F.array().cast("array<string>")
     hues = F.coalesce("colors", none)
     own = F.concat(F.coalesce(F.split("category", " "), none), F.coalesce(F.split("model", " "), none), F.flatten(F.transform(hues, lambda h: F.split(h, " "))))
     asked = stage(distinct.withColumn("own", own).withColumn("all", F.array_distinct(F.concat("own", F.coalesce(F.split("brand_text", " "), none)))).withColumn("num", F.monotonically_increasing_id()), "asked")
-    items = catalog.where("sku_id IS NOT NULL").select("sku_id", query_tokens(F.coalesce("name", F.lit(""))).alias("t"), F.array_join(query_tokens(F.coalesce("brand", F.lit(""))), " ").alias("b"))
+    items = catalog.where("sku_id IS NOT NULL").select("sku_id", query_tokens(F.coalesce("name", F.lit(""))).alias("t"), query_tokens(F.coalesce("brand", F.lit(""))).alias("bt"))
     kinds = stage(_signatures(items, asked, top), "kinds")
-    n_facts, n_kinds = -(-asked.count() // FACTS), -(-kinds.count() // KINDS)
+    n_facts, n_kinds = _blocks(asked.count(), kinds.count(), shuffle_partitions(facts.sparkSession))
     # each block of facts meets each block of kinds once, and only the best of it go on
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(1, n)))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)).cast("array<long>"))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
     left = asked.select("num", "brand_text", "category", "model", "colors", "own", block("num", n_facts).alias("fb")).withColumn("kb", every(n_kinds))
-    right = kinds.select("sid", "first", F.array_join("t", " ").alias("name"), "n", "b", block("sid", n_kinds).alias("kb")).withColumn("fb", every(n_facts))
-    kept = left.groupBy("fb", "kb").cogroup(right.groupBy("fb", "kb")).applyInPandas(lambda a, b: _best(a, b, top, least, w), f"num long, sid long, first {dict(kinds.dtypes)['first']}, score double, hits long")
-    why = F.concat_ws("+", *[F.when(F.col("hits").bitwiseAND(1 << i) > 0, name) for i, name in enumerate(("brand", "category", "model", "attributes"))])
-    kept = kept.select("num", "sid", "first", "score", why.alias("why"))
+    right = kinds.select("sid", "first", "name", "n", "b", block("sid", n_kinds).alias("kb")).withColumn("fb", every(n_facts))
+    kept = left.groupBy("fb", "kb").cogroup(right.groupBy("fb", "kb")).applyInPandas(lambda a, b: _best(a, b, top, least, w), f"num long, sid long, first {dict(kinds.dtypes)['first']}, score double, hits byte")
     number = lambda c: F.row_number().over(Window.partitionBy("num").orderBy(F.desc("score"), c))
     best = kept.withColumn("rn", number("first")).where(F.col("rn") <= top).drop("rn", "first")
-    each = best.join(kinds.select("sid", "skus"), "sid").select("num", "score", "why", F.explode("skus").alias("sku_id"))
+    each = best.join(kinds.select("sid", "skus"), "sid").select("num", "score", "hits", F.explode("skus").alias("sku_id"))
     each = each.withColumn("rn", number("sku_id")).where(F.col("rn") <= top)
-    each = each.withColumn("match", F.round(F.col("score") / F.max("score").over(Window.partitionBy("num")), 6)).join(asked.select("num", "fid"), "num").drop("num")
-    return salted_join(facts.select("id", "fid"), each, ["fid"]).select("id", "sku_id", "score", "match", "why", F.col("rn").cast("long").alias("rn"))
+    each = each.withColumn("match", F.round(F.col("score") / F.max("score").over(Window.partitionBy("num")), 6))
+    why = F.concat_ws("+", *[F.when(F.col("hits").bitwiseAND(1 << i) > 0, name) for i, name in enumerate(("brand", "category", "model", "attributes"))])
+    numbered = stage(salted_join(facts.select("id", "fid"), asked.select("fid", "num"), ["fid"]).select("id", "num"), "numbered")
+    return salted_join(numbered, each, ["num"]).select("id", "sku_id", "score", "match", why.alias("why"), F.col("rn").cast("long").alias("rn"))

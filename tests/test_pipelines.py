@@ -112,6 +112,40 @@ def test_rank_in_blocks_is_exact(spark, monkeypatch, w, top, least):
     assert {(r.id, r.sku_id, r.score, r.rn) for r in facts.rank(f, catalog, top, least, w).collect()} == want
 
 
+def test_ranking_shuffles_neither_tokens_nor_ngrams(spark):
+    n = 3000
+    d = facts.phrases(spark.createDataFrame([("acme",)], "n string"), "brand", "n").unionByName(facts.phrases(spark.createDataFrame([("ring",)], "n string"), "category", "n"))
+    q = spark.range(n).select("id", F.format_string("acme ring a%d b%d c%d d%d e%d f%d", *["id"] * 6).alias("query"))
+    items = spark.range(n).select(F.col("id").alias("sku_id"), F.format_string("ring g%d h%d i%d j%d k%d l%d", *["id"] * 6).alias("name"), F.lit("Acme").alias("brand"))
+
+    def written(group, run):
+        sc = spark.sparkContext
+        sc.setJobGroup(group, group)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            out = run()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        store, tracker = sc._jsc.sc().statusStore(), sc.statusTracker()
+        stages = {i for j in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(j).stageIds}
+        return out, sum(store.lastStageAttempt(i).shuffleWriteRecords() for i in stages)
+
+    got, rows = written("ngrams", lambda: facts.extract(q, d).collect())
+    assert len(got) == n and {(r.brand, r.category) for r in got} == {("acme", "ring")} and 0 < rows < 12 * n
+    one = spark.createDataFrame([(1, "acme", "ring", None, [])], "id int, brand_text string, category string, model string, colors array<string>")
+    got, rows = written("tokens", lambda: facts.rank(one, items, top=5).collect())
+    assert [r.sku_id for r in sorted(got, key=lambda r: r.rn)] == [0, 1, 2, 3, 4] and 0 < rows < 2 * n
+    assert facts.rank(one.limit(0), items).count() == 0 and facts.extract(q.limit(1), d.limit(0)).first().brand is None
+
+
+def test_blocks_are_bounded_and_few():
+    assert facts._blocks(0, 0, 12) == (1, 1) and facts._blocks(500, 300, 12) == (1, 1)
+    assert facts._blocks(27_000, 369_000, 12) == (4, 3)
+    assert facts._blocks(360_000, 900_000, 12) == (11, 7)
+
+
 def test_fills(spark):
     q = spark.createDataFrame([(1, "чайник samsng b7"), (2, "xxsamsungyy"), (3, None), (4, "")], "id int, query string")
     n = spark.createDataFrame([("Samsung",), ("Sam",)], "name string")
