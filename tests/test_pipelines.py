@@ -1,5 +1,7 @@
 """Spelling, labels, facts, metrics, markov, learned parts on small rows."""
 
+import collections
+import functools
 import hashlib
 
 import numpy as np
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from querymill.functions.udf import weighted
 from querymill.operators import cascade, clicks, facts, labeler, markov, metrics, mining, ml, quality, silver, spell, stats
+from querymill.plans import analysis
 
 
 def test_vote(spark):
@@ -198,6 +201,21 @@ def test_classifier_counts_repeats_and_leaves_undrawn_classes(spark):
     assert {r.text: r.top for r in few.predict(df).collect() if (r.text, r.label) in first} == dict(first)
 
 
+def test_attribute_report_with_undrawn_classes(spark, monkeypatch, tmp_path):
+    spans = ["16 гб", "белый", "2 кг", "1920x1080", "4k", "сталь"]
+    rows = [(i, f"чайник {t}", [(t, "ATTR", [7, 7 + len(t)]), ("чайник", "CATEGORY", [0, 6])]) for i in range(240) for t in [spans[i % 6]]]
+    spark.createDataFrame(rows, "item_id long, query string, entities array<struct<text:string,label:string,span:array<int>>>").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(ml, "BrandClassifier", functools.partial(ml.BrandClassifier, features=64, rows=2))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.label: r.support for r in analysis.attribute_classifier_report(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    held = collections.Counter(i % 6 for i in range(240) if hashlib.md5(f"{i}|7".encode()).hexdigest() < "4")
+    types = ["memory_storage", "color", "weight", "resolution_exact", "resolution_standard", "other"]
+    assert {k: n for k, n in got.items() if n} == {types[i]: n for i, n in held.items()}
+
+
 def test_nearest_is_exact(spark):
     rnd = np.random.default_rng(2)
     x = rnd.normal(size=(120, 8))
