@@ -103,7 +103,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 50, block: int = 4096,
 class BrandClassifier:
     """Multinomial logistic regression over hashed character n-grams."""
 
-    def __init__(self, features: int = 1 << 12, rows: int = 50_000):
+    def __init__(self, features: int = 1 << 12, rows: int | None = None):
         self.features, self.rows = features, rows
 
     def _vectors(self, df: DataFrame) -> DataFrame:
@@ -111,9 +111,10 @@ class BrandClassifier:
         return HashingTF(numFeatures=self.features, inputCol="grams", outputCol="features").transform(grams)
 
     def fit(self, train: DataFrame) -> BrandClassifier:
-        """``train``: text, label (string), weight; equal rows are one of their summed weight, and at most ``rows`` such are fitted on, in a fixed random order."""
+        """``train``: text, label (string), weight; equal rows are one of their summed weight. All are fitted on, unless ``rows`` asks for the first so many in a fixed random order."""
+        used = train.groupBy("text", "label").agg(F.sum("weight").alias("weight"))
         # staged, as the loss checks labels below a limit too, where some may be of no class drawn
-        used = stage(train.groupBy("text", "label").agg(F.sum("weight").alias("weight")).orderBy(F.md5("text"), "text", "label").limit(self.rows), "drawn")
+        used = stage(used if self.rows is None else used.orderBy(F.md5("text"), "text", "label").limit(self.rows), "used")
         self.labels = [r[0] for r in used.select("label").distinct().orderBy("label").collect()]
         ids = F.array_position(F.array(*[F.lit(x) for x in self.labels]), F.col("label")) - 1
         self.model = LogisticRegression(maxIter=30, regParam=0.003, weightCol="weight", elasticNetParam=0.0).fit(self._vectors(spread(used).withColumn("label", ids.cast("double"))))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from querymill.functions.attributes import COLORS
 from querymill.functions.udf import weighted
 from querymill.operators import cascade, clicks, facts, labeler, markov, metrics, mining, ml, quality, silver, spell, stats
 from querymill.plans import analysis
@@ -216,6 +217,22 @@ def test_attribute_report_with_undrawn_classes(spark, monkeypatch, tmp_path):
     assert {k: n for k, n in got.items() if n} == {types[i]: n for i, n in held.items()}
 
 
+def many_spans(spark, folder):
+    """A benchmark of 70,000 different spans and 4,000 times one of another type, whose digest is behind most of theirs; gives the times it is held out."""
+    color = max(COLORS, key=lambda c: hashlib.md5(c.encode()).hexdigest())
+    q = spark.range(39_000).select(F.col("id").alias("item_id"), F.when(F.col("id") < 35_000, F.concat("id", F.lit(" гб"))).otherwise(color).alias("s"))
+    e = F.array(F.struct(F.col("s").alias("text"), F.lit("ATTR").alias("label"), F.array(F.lit(7), F.length("s") + 7).alias("span")))
+    q.select("item_id", F.concat(F.lit("чайник "), "s").alias("query"), e.alias("entities")).write.parquet(f"{folder}/benchmark.parquet")
+    return sum(hashlib.md5(f"{i}|7".encode()).hexdigest() < "4" for i in range(35_000, 39_000))
+
+
+def test_attribute_classifier_is_fitted_on_all_spans(spark, monkeypatch, tmp_path):
+    held = many_spans(spark, tmp_path)
+    monkeypatch.setattr(ml, "BrandClassifier", functools.partial(ml.BrandClassifier, features=256))
+    got = analysis.attribute_classifier(spark, str(tmp_path)).groupBy("label", "top").count().collect()
+    assert {(r.label, r.top): r["count"] for r in got if "color" in (r.label, r.top)} == {("color", "color"): held}
+
+
 def test_nearest_is_exact(spark):
     rnd = np.random.default_rng(2)
     x = rnd.normal(size=(120, 8))
