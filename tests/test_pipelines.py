@@ -233,6 +233,13 @@ def test_attribute_classifier_is_fitted_on_all_spans(spark, monkeypatch, tmp_pat
     assert {(r.label, r.top): r["count"] for r in got if "color" in (r.label, r.top)} == {("color", "color"): held}
 
 
+def test_attribute_report_counts_types_of_a_model_of_all_spans(spark, monkeypatch, tmp_path):
+    held = many_spans(spark, tmp_path)
+    monkeypatch.setattr(ml, "BrandClassifier", functools.partial(ml.BrandClassifier, features=256))
+    got = {r.label: r for r in analysis.attribute_classifier_report(spark, str(tmp_path)).collect()}
+    assert (got["color"].support, got["color"].predicted, got["color"].tp, got["color"].f1) == (held, held, held, 1.0)
+
+
 def test_nearest_is_exact(spark):
     rnd = np.random.default_rng(2)
     x = rnd.normal(size=(120, 8))
