@@ -162,7 +162,7 @@ def viterbi(scores: np.ndarray, moves: np.ndarray) -> list[int]:
 class Tagger:
     """Sequence tagger: logistic regression for each token, transitions from counts, Viterbi over both."""
 
-    def __init__(self, features: int = 1 << 13, rows: int = 20_000):
+    def __init__(self, features: int = 1 << 13, rows: int | None = None):
         self.features, self.rows = features, rows
 
     def _tokens(self, df: DataFrame) -> DataFrame:
@@ -170,17 +170,18 @@ class Tagger:
         return HashingTF(numFeatures=self.features, inputCol="f", outputCol="features", binary=True).transform(t)
 
     def fit(self, train: DataFrame) -> Tagger:
-        """``train``: id, tokens, tags; fitted on at most ``rows`` sentences in a fixed random order. An I- may follow only its own kind."""
-        used = stage(train.where("size(tokens) > 0").select("id", "tokens", "tags").orderBy(F.md5(F.col("id").cast("string")), "id").limit(self.rows), "drawn")
-        t = self._tokens(spread(used))
-        self.tags = [r[0] for r in t.select("tag").distinct().orderBy("tag").collect()]
+        """``train``: id, tokens, tags; fitted on all sentences, unless ``rows`` asks for the first so many in a fixed random order. An I- may follow only its own kind."""
+        used = train.where("size(tokens) > 0").select("id", "tokens", "tags")
+        used = stage(used if self.rows is None else used.orderBy(F.md5(F.col("id").cast("string")), "id").limit(self.rows), "used")
+        follows = F.arrays_zip(F.col("tags").alias("tag"), F.slice("tags", 2, F.size("tags")).alias("nxt"))
+        pairs = used.select(F.explode(follows).alias("x")).groupBy("x.tag", "x.nxt").count().collect()
+        self.tags = sorted({r["tag"] for r in pairs})
         names = F.array(*[F.lit(x) for x in self.tags])
+        t = self._tokens(spread(used))
         self.model = LogisticRegression(maxIter=30, regParam=0.001).fit(t.withColumn("label", (F.array_position(names, F.col("tag")) - 1).cast("double")))
-        w = Window.partitionBy("id").orderBy("pos")
-        pairs = t.select("tag", F.lead("tag").over(w).alias("nxt")).where("nxt IS NOT NULL").groupBy("tag", "nxt").count().collect()
         n = len(self.tags)
         counts = np.ones((n, n))
-        for r in pairs:
+        for r in (x for x in pairs if x["nxt"] is not None):
             counts[self.tags.index(r["tag"]), self.tags.index(r["nxt"])] += r["count"]
         self.moves = np.log(counts / counts.sum(1, keepdims=True))
         for j, b in enumerate(self.tags):

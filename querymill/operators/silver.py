@@ -10,6 +10,8 @@ from querymill.operators.stats import capped_classes, stratified_split
 from querymill.sources.tables import stage
 
 NO_BRAND, UNKNOWN = "NO_BRAND", "UNKNOWN"
+#: Most of a special class: its share of the rows, and the rows it may have at least.
+CAPS = [(NO_BRAND, 0.18, 200), (UNKNOWN, 0.12, 150)]
 
 
 def evidence(voted: DataFrame, aliases: DataFrame, categories: DataFrame, top: DataFrame, most_tokens: int = 4, cover: float = 0.6) -> DataFrame:
@@ -63,7 +65,7 @@ def weight(brand: Column, confidence: Column) -> Column:
 def training_set(df: DataFrame, least_class: int = 20, special_least: int = 15, share: float = 0.2) -> DataFrame:
     """Labelled rows of 2 to 120 characters, balanced, with tier, weight, supported classes only, split part and label id (special classes last)."""
     rows = df.where(F.col("brand").isNotNull() & F.length("query_norm").between(2, 120))
-    even = capped_classes(stage(rows, "labelled"), "brand", ["query_norm"], [(NO_BRAND, 0.18, 200), (UNKNOWN, 0.12, 150)])
+    even = capped_classes(stage(rows, "labelled"), "brand", ["query_norm"], CAPS)
     n = even.groupBy("brand").agg(F.count(F.lit(1)).alias("n__"))
     special = F.col("brand").isin(NO_BRAND, UNKNOWN)
     kept = n.where((F.col("n__") >= least_class) | (special & (F.col("n__") >= special_least))).select("brand")
@@ -73,6 +75,25 @@ def training_set(df: DataFrame, least_class: int = 20, special_least: int = 15,
     return stratified_split(out, "brand", ["query_norm"], share)
 
 
+def serving_set(df: DataFrame, least_class: int = 20, special_least: int = 15) -> DataFrame:
+    """``query_norm, brand, sample_weight``: all labelled rows of 2 to 120 characters of the classes that ``training_set`` supports.
+
+    None is cut or held out: a class that ``training_set`` cuts keeps all its rows, each weighing less by as much.
+    """
+    rows = df.where(F.col("brand").isNotNull() & F.length("query_norm").between(2, 120)).select("query_norm", "brand", weight(F.col("brand"), F.col("confidence")).alias("sample_weight"))
+    rows = stage(rows, "labelled")
+    n = {r["brand"]: r["count"] for r in rows.groupBy("brand").count().collect()}  # brands of the closed set
+    kept, total, even = dict(n), sum(n.values()), F.lit(1.0)
+    for c, share, least in CAPS:
+        if c in n:
+            kept[c] = min(n[c], max(least, int(share * (total - n[c]) / (1 - share))))
+            total += kept[c] - n[c]
+            even = F.when(F.col("brand") == c, kept[c] / n[c]).otherwise(even)
+    special = {c for c, _, _ in CAPS}
+    supported = [c for c, k in kept.items() if k >= (min(least_class, special_least) if c in special else least_class)]
+    return rows.where(F.col("brand").isin(supported)).withColumn("sample_weight", F.col("sample_weight") * even)
+
+
 def gate(has_brand: Column, category_only: Column, evidence_: Column) -> Column:
     """Whether the classifier is asked at all: not with a brand found, nor for a category alone."""
     return ~has_brand & ~category_only & evidence_

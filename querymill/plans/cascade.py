@@ -57,13 +57,13 @@ def preprocessing_effect(spark, sf):
 
 
 def _classifier(spark, sf):
-    rows = V.training_set(V.assigned(_evidence(spark, sf))).select(F.col("query_norm").alias("text"), F.col("brand").alias("label"), F.col("sample_weight").alias("weight"), "part")
-    return ml.BrandClassifier().fit(stage(rows, "training").where("part = 'train'"))
+    rows = V.serving_set(V.assigned(_evidence(spark, sf)))
+    return ml.BrandClassifier().fit(rows.select(F.col("query_norm").alias("text"), F.col("brand").alias("label"), F.col("sample_weight").alias("weight")))
 
 
 def _typer(spark, sf):
     rows = attribute_rows(spark, sf).select(F.col("span_text").alias("text"), F.col("type").alias("label"), F.lit(1.0).alias("weight"))
-    return ml.BrandClassifier().fit(stage(rows, "spans"))
+    return ml.BrandClassifier().fit(rows)
 
 
 def _cascade(spark, sf, classifier=None, tagger=None, typer=None):

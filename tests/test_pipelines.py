@@ -12,6 +12,7 @@ from querymill.functions.attributes import COLORS
 from querymill.functions.udf import weighted
 from querymill.operators import cascade, clicks, facts, labeler, markov, metrics, mining, ml, quality, silver, spell, stats
 from querymill.plans import analysis
+from querymill.plans import cascade as plan
 
 
 def test_vote(spark):
@@ -240,6 +241,46 @@ def test_attribute_report_counts_types_of_a_model_of_all_spans(spark, monkeypatc
     assert (got["color"].support, got["color"].predicted, got["color"].tp, got["color"].f1) == (held, held, held, 1.0)
 
 
+def test_tagger_is_fitted_on_all_sentences(spark):
+    last = max(range(24_000), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    rare = F.col("id") == last
+    df = spark.range(24_000).select("id", F.when(rare, F.array(F.lit("x1"), F.lit("x2"))).otherwise(F.array(F.lit("asus"), F.lit("pro"), F.lit("y"))).alias("tokens"), F.when(rare, F.array(F.lit("B-M"), F.lit("I-M"))).otherwise(F.array(F.lit("B-B"), F.lit("I-B"), F.lit("O"))).alias("tags"))
+    model = ml.Tagger(features=64).fit(df)
+    assert model.tags == ["B-B", "B-M", "I-B", "I-M", "O"]
+    counts = np.ones((5, 5))
+    counts[0, 2] += 23_999
+    counts[2, 4] += 23_999
+    counts[1, 3] += 1
+    assert np.allclose(np.where(model.moves > -1e9, model.moves, 0), np.where(model.moves > -1e9, np.log(counts / counts.sum(1, keepdims=True)), 0))
+
+
+def test_cascade_brands_are_fitted_on_all_labelled_rows(spark, monkeypatch):
+    names = ["Acme"] * 300 + ["Rare"] * 19 + ["NO_BRAND"] * 500 + ["UNKNOWN"] * 400 + [None] * 5
+    rows = [(f"query {i}", b, 0.5) for i, b in enumerate(names)] + [("q", "Acme", 0.5), ("q" * 121, "Acme", 0.5)]
+    df = spark.createDataFrame(rows, "query_norm string, brand string, confidence double")
+    monkeypatch.setattr(plan, "_evidence", lambda *_: df)
+    monkeypatch.setattr(silver, "assigned", lambda x: x)
+    asked = []
+
+    class Seen:
+        def fit(self, train):
+            asked.extend(train.collect())
+
+    monkeypatch.setattr(ml, "BrandClassifier", Seen)
+    plan._classifier(spark, "")
+    # training_set leaves 200 of NO_BRAND and 150 of UNKNOWN, the least it may cut to, and no class of 19 rows
+    weights = {"Acme": (300, 0.5 * 300), "NO_BRAND": (500, 200.0), "UNKNOWN": (400, 0.9 * 150)}
+    assert {b: (sum(r.label == b for r in asked), pytest.approx(sum(r.weight for r in asked if r.label == b))) for b in {r.label for r in asked}} == weights
+    assert {r.text for r in asked} == {q for q, b, _ in rows if b in weights and 2 <= len(q) <= 120}
+
+
+def test_serving_set_weighs_as_training_set_cuts(spark):
+    rows = [(f"query {i}", b, 0.5, 1, True, None) for i, b in enumerate(["Acme"] * 2000 + ["NO_BRAND"] * 900 + ["UNKNOWN"] * 700)]
+    df = spark.createDataFrame(rows, "query_norm string, brand string, confidence double, n_clicks int, brand_in_query boolean, alias_canon string")
+    got, cut = ({r.brand: r.w for r in f(df).groupBy("brand").agg(F.sum("sample_weight").alias("w")).collect()} for f in (silver.serving_set, silver.training_set))
+    assert got == pytest.approx(cut) and silver.serving_set(df).count() == 3600 > silver.training_set(df).count()
+
+
 def test_nearest_is_exact(spark):
     rnd = np.random.default_rng(2)
     x = rnd.normal(size=(120, 8))
