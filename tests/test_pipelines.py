@@ -257,7 +257,7 @@ def test_tagger_is_fitted_on_all_sentences(spark):
 def test_cascade_brands_are_fitted_on_all_labelled_rows(spark, monkeypatch):
     names = ["Acme"] * 300 + ["Rare"] * 19 + ["NO_BRAND"] * 500 + ["UNKNOWN"] * 400 + [None] * 5
     rows = [(f"query {i}", b, 0.5) for i, b in enumerate(names)] + [("q", "Acme", 0.5), ("q" * 121, "Acme", 0.5)]
-    df = spark.createDataFrame(rows, "query_norm string, brand string, confidence double")
+    df = spark.createDataFrame(rows, "query_norm string, brand string, confidence double").selectExpr("*", "1 AS n_clicks", "true AS brand_in_query", "CAST(NULL AS string) AS alias_canon")
     monkeypatch.setattr(plan, "_evidence", lambda *_: df)
     monkeypatch.setattr(silver, "assigned", lambda x: x)
     asked = []
